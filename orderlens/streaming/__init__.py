@@ -1,0 +1 @@
+"""Intentionally empty: every job in this library is a batch job ("late" is a delivery status)."""
