@@ -1,0 +1,12 @@
+"""DuckDB statements equivalent to the registered queries."""
+
+from __future__ import annotations
+
+
+def statements() -> dict[str, str]:
+    from oracle import exploration, reports
+    from oracle.tables import with_tables
+
+    extra = {**reports.EXTRA, **exploration.EXTRA}
+    bodies = {**reports.SQL, **exploration.SQL}
+    return {name: with_tables(body, extra) for name, body in bodies.items()}
