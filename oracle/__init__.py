@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def statements() -> dict[str, str]:
-    from oracle import exploration, reports
+    from oracle import exploration, reports, tests_sql
     from oracle.tables import with_tables
 
-    extra = {**reports.EXTRA, **exploration.EXTRA}
-    bodies = {**reports.SQL, **exploration.SQL}
+    extra = {**reports.EXTRA, **exploration.EXTRA, **tests_sql.EXTRA}
+    bodies = {**reports.SQL, **exploration.SQL, **tests_sql.SQL}
     return {name: with_tables(body, extra) for name, body in bodies.items()}

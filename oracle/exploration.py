@@ -28,13 +28,13 @@ EXTRA = {
 
 def histogram(source: str, value: str, bins: int) -> str:
     edge = "lo / 100::DOUBLE + ({}) * ((hi - lo) / (100::DOUBLE * " + str(bins) + "))"
-    return f"""WITH v AS (SELECT CAST(round_even({value} * 100, 0) AS BIGINT) AS v FROM {source} WHERE {value} IS NOT NULL),
+    return f"""SELECT * FROM (WITH v AS (SELECT CAST(round_even({value} * 100, 0) AS BIGINT) AS v FROM {source} WHERE {value} IS NOT NULL),
         r AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
         h AS (SELECT least(coalesce((v - lo) * {bins} // nullif(hi - lo, 0), 0), {bins - 1}) AS bin, count(*) AS n
               FROM v, r GROUP BY 1)
         SELECT b.bin, {half_up(edge.format("b.bin"), 6)} AS lower, {half_up(edge.format("b.bin + 1"), 6)} AS upper,
                coalesce(h.n, 0) AS count
-        FROM (SELECT unnest(range({bins})) AS bin) b CROSS JOIN r LEFT JOIN h ON b.bin = h.bin"""
+        FROM (SELECT unnest(range({bins})) AS bin) b CROSS JOIN r LEFT JOIN h ON b.bin = h.bin)"""
 
 
 SQL: dict[str, str] = {}

@@ -158,3 +158,17 @@ def with_tiles(
             tile = tile + (F.struct(*keys) >= bound).cast("int")
         columns[column] = tile
     return stored.withColumns(columns)
+
+def exact_median(df: DataFrame, value: str, keys: list[str]) -> float | None:
+    """Median of an unbounded numeric column; `keys` identify a row.
+
+    The built-in median keeps every distinct value in one aggregation buffer.  Here the two
+    middle rows are located instead.
+    """
+    present = df.where(F.col(value).isNotNull()).select(value, *keys)
+    total = present.count()
+    if total == 0:
+        return None
+    middle = sorted({(total + 1) // 2, total // 2 + 1})
+    found = order_statistics(present, [value, *keys], middle, total)
+    return sum(float(row[0]) for row in found) / len(found)

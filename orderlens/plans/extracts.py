@@ -272,7 +272,7 @@ def delivery_percentiles(star) -> DataFrame:
     )
     return days.agg(
         *[
-            F.round(F.percentile("delivery_days", p, "n"), 6).alias(name)
+            F.round(F.percentile("delivery_days", p, F.col("n")), 6).alias(name)
             for name, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))
         ]
     )

@@ -184,8 +184,8 @@ def new_vs_returning(star) -> DataFrame:
     active = (
         delivered(star.fact)
         .where(F.col("customer_unique_id").isNotNull())
-        .groupBy("customer_unique_id", year_month().alias("year_month"))
-        .agg()
+        .select("customer_unique_id", year_month().alias("year_month"))
+        .distinct()
     )
     first = F.min("year_month").over(W.partitionBy("customer_unique_id"))
     is_new = F.col("year_month") == F.col("first_month")

@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderlens.plans import cleaning, delays, explore, metrics, rfm, star as plans
+from orderlens.plans import cleaning, delays, explore, hypothesis, metrics, rfm, star as plans
 from orderlens.plans import extracts as dash
 from orderlens.session import SessionStar, session_star
 from orderlens.sources.raw_csv import load_profile
 
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Floating-point columns rounded for reporting."""
+    doubles = [f.name for f in df.schema if f.dataType.typeName() == "double"]
+    return df.withColumns({c: F.round(c, digits) for c in doubles})
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Each function takes the session's star.  Table builders are given as they are computed from
@@ -89,6 +98,22 @@ ON_STAR: dict[str, Callable[[SessionStar], DataFrame]] = {
     "seller_quality_gate": explore.seller_quality_gate,
     "customer_geography": explore.customer_geography,
     "corr_matrix": explore.corr_matrix,
+    "pearson_delay_review": lambda s: rounded(hypothesis.pearson(s)),
+    "spearman_delay_review": lambda s: rounded(hypothesis.spearman(s)),
+    "regression_line": lambda s: rounded(hypothesis.regression_line(s)),
+    "scatter_sample": hypothesis.scatter_sample,
+    "box_by_delay": lambda s: rounded(hypothesis.box_by_delay(s)),
+    "box_by_state": lambda s: rounded(hypothesis.box_by_state(s)),
+    "late_group_stats": lambda s: rounded(hypothesis.late_group_stats(s)),
+    "welch_t": lambda s: rounded(hypothesis.welch_t(s)),
+    "cohens_d": lambda s: rounded(hypothesis.cohens_d(s)),
+    "mean_diff_ci": lambda s: rounded(hypothesis.mean_diff_ci(s)),
+    "mann_whitney": lambda s: rounded(hypothesis.mann_whitney(s)),
+    "anova_groups": lambda s: rounded(hypothesis.anova_groups(s)),
+    "anova_state": lambda s: rounded(hypothesis.anova(s)).withColumn("f", F.round("f", 4)),
+    "kruskal_state": lambda s: rounded(hypothesis.kruskal(s), 4),
+    "state_mean_ci": lambda s: rounded(hypothesis.state_mean_ci(s)),
+    "hypothesis_summary": hypothesis.summary,
 }
 
 
