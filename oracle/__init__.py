@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def statements() -> dict[str, str]:
-    from oracle import exploration, reports, tests_sql
+    from oracle import exploration, reports, risk_sql, tests_sql
     from oracle.tables import with_tables
 
-    extra = {**reports.EXTRA, **exploration.EXTRA, **tests_sql.EXTRA}
-    bodies = {**reports.SQL, **exploration.SQL, **tests_sql.SQL}
+    parts = (reports, exploration, tests_sql, risk_sql)
+    extra = {k: v for part in parts for k, v in part.EXTRA.items()}
+    bodies = {k: v for part in parts for k, v in part.SQL.items()}
     return {name: with_tables(body, extra) for name, body in bodies.items()}

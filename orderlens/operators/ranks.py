@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,35 +14,53 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
-def mid_ranks(counts: DataFrame, value: str) -> DataFrame:
-    """(value, n, mid_rank) over a frame of counts `n`, ties sharing the mean of their ranks.
+def running_totals(
+    counts: DataFrame, value: str, sums: Sequence[str], width: float = 1.0
+) -> DataFrame:
+    """One row per distinct `value` with, for each column in `sums`, its total (same name) and
+    `<name>_upto`, the running total over values up to and including this one.
 
-    Running totals are kept per whole-number chunk of the value and shifted by the totals of
-    smaller chunks, so the ordered window without a partition sees one row per chunk.
+    Running totals are kept per chunk of `width` and shifted by the totals of smaller chunks,
+    so the ordered window without a partition sees one row per chunk.
     """
     totals = (
         counts.where(F.col(value).isNotNull())
         .groupBy(value)
-        .agg(F.sum("n").alias("n"))
-        .withColumn("chunk", F.floor(value))
+        .agg(*[F.sum(c).alias(c) for c in sums])
+        .withColumn("chunk", F.floor(F.col(value) / F.lit(width)))
     )
     upto = W.partitionBy("chunk").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    chunks = totals.groupBy("chunk").agg(F.sum("n").alias("chunk_n"))
     before = W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    shifts = chunks.select(
-        "chunk", F.coalesce(F.sum("chunk_n").over(before), F.lit(0)).alias("shift")
+    shifts = (
+        totals.groupBy("chunk")
+        .agg(*[F.sum(c).alias(f"{c}_chunk") for c in sums])
+        .select(
+            "chunk",
+            *[
+                F.coalesce(F.sum(f"{c}_chunk").over(before), F.lit(0)).alias(f"{c}_shift")
+                for c in sums
+            ],
+        )
     )
-    running = totals.withColumn("upto", F.sum("n").over(upto))
+    running = totals.withColumns({f"{c}_within": F.sum(c).over(upto) for c in sums})
     return running.join(shifts, "chunk").select(
         value,
-        "n",
-        (F.col("shift") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("mid_rank"),
+        *sums,
+        *[(F.col(f"{c}_shift") + F.col(f"{c}_within")).alias(f"{c}_upto") for c in sums],
+    )
+
+
+def mid_ranks(counts: DataFrame, value: str, width: float = 1.0) -> DataFrame:
+    """(value, n, mid_rank) over a frame of counts `n`, ties sharing the mean of their ranks."""
+    n, upto = F.col("n"), F.col("n_upto")
+    return running_totals(counts, value, ["n"], width).select(
+        value, "n", (upto - n + (n + 1) / 2).alias("mid_rank")
     )
 
 
-def rank_sums(counts: DataFrame, value: str, group: str) -> DataFrame:
+def rank_sums(counts: DataFrame, value: str, group: str, width: float = 1.0) -> DataFrame:
     """(group, n, rank_sum) from counts `n` per (group, value)."""
-    ranks = mid_ranks(counts, value).select(value, "mid_rank")
+    ranks = mid_ranks(counts, value, width).select(value, "mid_rank")
     return (
         counts.join(ranks, value)
         .groupBy(group)

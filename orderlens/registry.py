@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.plans import cleaning, delays, explore, hypothesis, metrics, rfm, star as plans
+from orderlens.plans import cleaning, delays, explore, hypothesis, metrics, rfm, risk, star as plans
 from orderlens.plans import extracts as dash
+from orderlens.plans import risk_model as models
 from orderlens.session import SessionStar, session_star
 from orderlens.sources.raw_csv import load_profile
 
@@ -114,6 +115,27 @@ ON_STAR: dict[str, Callable[[SessionStar], DataFrame]] = {
     "kruskal_state": lambda s: rounded(hypothesis.kruskal(s), 4),
     "state_mean_ci": lambda s: rounded(hypothesis.state_mean_ci(s)),
     "hypothesis_summary": hypothesis.summary,
+    "ml_rows": lambda s: risk.ml_rows(s).select("*"),
+    "ml_features": lambda s: rounded(risk.ml_features(s)),
+    "ml_imputed": lambda s: rounded(risk.imputed_numbers(s)),
+    "ml_design": risk.design_arrays,
+    "ml_split": lambda s: risk.ml_split(s).select("order_id", "order_item_id", "is_late", "split"),
+    "confusion": lambda s: models.confusion(risk.rule_scores(s)),
+    "classification_metrics": lambda s: rounded(
+        models.classification_metrics(risk.rule_scores(s))
+    ),
+    "class_report": lambda s: rounded(models.class_report(risk.rule_scores(s))),
+    "roc_points": lambda s: rounded(models.roc_points(risk.rule_scores(s))),
+    "risk_tier": risk.rule_tiers,
+    "risk_drivers": risk.driver_rows,
+    "lr_metrics": lambda s: risk.metrics(s, models.LR),
+    "lr_coefficients": risk.logistic_coefficients,
+    "rf_metrics": lambda s: risk.metrics(s, models.RF),
+    "rf_importance": risk.forest_importances,
+    "best_model": risk.best_model,
+    "score_orders": risk.scored_orders,
+    "cv_auc": lambda s: risk.cv_auc(s, models.LR),
+    "cv_auc_forest": lambda s: risk.cv_auc(s, models.RF),
 }
 
 
