@@ -9,8 +9,8 @@ import re
 
 
 def half_up(x: str, digits: int) -> str:
-    """Round half away from zero on the decimal form of a double."""
-    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    """Round half away from zero on the shortest decimal form of a double."""
+    return f"CAST(ROUND(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 def half_even(x: str, digits: int = 2) -> str:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.exact import exact_mean, half_up
 
-# A window over all rows, used only on report-sized results (one row per group).
-WHOLE = W.partitionBy()
+def whole():
+    """A window over all rows, used only on report-sized results (one row per group)."""
+    return W.partitionBy()
 
 
 def delivered(fact: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ from orderlens.functions.exact import (
 )
 from orderlens.operators.order_stats import with_tiles
 from orderlens.plans.common import (
-    WHOLE,
     delivered,
     delivered_dated,
     late_pct,
@@ -30,6 +29,7 @@ from orderlens.plans.common import (
     mean_review,
     orders,
     with_state,
+    whole,
 )
 
 # Names of the seller tiers.
@@ -48,7 +48,7 @@ def delay_distribution(star) -> DataFrame:
         .groupBy(bucket_order(F.col("delivery_delay_days"), DELAY_BOUNDS).alias("bucket"))
         .agg(F.count("*").alias("item_count"), mean_review().alias("avg_review_in_bucket"))
     )
-    share = percent(F.col("item_count"), F.sum("item_count").over(WHOLE))
+    share = percent(F.col("item_count"), F.sum("item_count").over(whole()))
     return (
         grouped.withColumn("pct_of_total", half_up(share, 1))
         .orderBy("bucket")

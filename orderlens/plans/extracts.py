@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.exact import exact_mean, exact_sum, half_even, hundredths
 from orderlens.plans.common import (
-    WHOLE,
     delivered,
     orders,
     with_category,
     with_state,
     year_month,
+    whole,
 )
 
 # On-time rates (in percent) from which a month counts as yellow or green.
@@ -132,7 +132,7 @@ def top_sellers(leaderboard: DataFrame, rows: int = 10) -> DataFrame:
 
 def category_share(breakdown: DataFrame) -> DataFrame:
     """Share of each category in the revenue of all; empty when there is no revenue."""
-    total = F.sum(hundredths("revenue")).over(WHOLE) / F.lit(100.0)
+    total = F.sum(hundredths("revenue")).over(whole()) / F.lit(100.0)
     share = F.try_divide(F.col("revenue"), total)
     return breakdown.select(
         "product_category", "revenue", F.round(share, 6).alias("revenue_share")

@@ -22,6 +22,7 @@ from orderlens.functions.exact import exact_mean
 from orderlens.functions.pvalues import p_chi2, p_f, p_normal, p_t
 from orderlens.operators.ranks import mid_ranks, rank_sums, tie_term, value_counts
 from orderlens.plans.common import delivered_dated, with_state
+from orderlens.sources.scratch import materialize
 
 # Verbal bands, the normal quantile of the intervals, significance levels.
 CORRELATION_BANDS = ((0.1, "negligible"), (0.3, "weak"), (0.5, "moderate"), (0.7, "strong"))
@@ -32,13 +33,25 @@ EFFECT_TOP = "large"
 Z95 = 1.96
 ALPHAS = (0.05, 0.01)
 
+TEST_COLUMNS = (
+    "order_id", "order_item_id", "is_late", "review_score", "delivery_days",
+    "delivery_delay_days",
+)
+
 
 def test_rows(star) -> DataFrame:
-    """Delivered, dated and reviewed items with the state of a known customer."""
-    columns = ["customer_unique_id", "order_id", "order_item_id", "is_late", "review_score",
-               "delivery_days", "delivery_delay_days"]
-    reviewed = delivered_dated(star.fact).where(F.col("review_score").isNotNull())
-    return with_state(reviewed.select(*columns), star.customers)
+    """Delivered, dated and reviewed items with the state of a known customer.
+
+    All tests share these rows, so the join is done and written once per star.
+    """
+
+    def build() -> DataFrame:
+        reviewed = delivered_dated(star.fact).where(F.col("review_score").isNotNull())
+        narrow = reviewed.select("customer_unique_id", *TEST_COLUMNS)
+        rows = with_state(narrow, star.customers)
+        return materialize(rows.select(*TEST_COLUMNS, "customer_state"), "test_rows")
+
+    return star.once("test_rows", build)
 
 
 def _significance(df: DataFrame, p: Column) -> DataFrame:

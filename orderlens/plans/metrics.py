@@ -14,7 +14,6 @@ from orderlens.functions.exact import (
     percent,
 )
 from orderlens.plans.common import (
-    WHOLE,
     delivered,
     delivered_dated,
     late_pct,
@@ -25,6 +24,7 @@ from orderlens.plans.common import (
     with_category,
     with_state,
     year_month,
+    whole,
 )
 
 
@@ -169,7 +169,7 @@ def payment_breakdown(star) -> DataFrame:
         exact_sum("total_item_value").alias("revenue"),
         half_up(F.avg("payment_installments"), 1).alias("avg_installments"),
     )
-    share = percent(F.col("orders"), F.sum("orders").over(WHOLE))
+    share = percent(F.col("orders"), F.sum("orders").over(whole()))
     return grouped.withColumn("pct_of_orders", half_up(share, 1)).orderBy(
         F.desc("orders"), "payment_type"
     )

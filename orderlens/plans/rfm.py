@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.exact import exact_mean, exact_sum, half_up, percent
 from orderlens.operators.order_stats import with_tiles
-from orderlens.plans.common import WHOLE, delivered, orders
+from orderlens.plans.common import delivered, orders, whole
 
 # Ascending keys of each score; the last one makes the order total.  Frequency ties are
 # broken by spend, which decides the segments where most people ordered once.
@@ -108,10 +108,10 @@ def rfm_segments(star) -> DataFrame:
         half_up(exact_mean("monetary"), 2).alias("avg_monetary"),
         exact_sum("monetary").alias("total_revenue"),
     )
-    people = percent(F.col("customer_count"), F.sum("customer_count").over(WHOLE))
+    people = percent(F.col("customer_count"), F.sum("customer_count").over(whole()))
     revenue = percent(
         F.col("total_revenue"),
-        F.sum(F.rint(F.col("total_revenue") * F.lit(100.0)).cast("long")).over(WHOLE)
+        F.sum(F.rint(F.col("total_revenue") * F.lit(100.0)).cast("long")).over(whole())
         / F.lit(100.0),
     )
     return (

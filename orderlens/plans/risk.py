@@ -45,9 +45,12 @@ def ml_design(star) -> DataFrame:
 
 
 def ml_split(star) -> DataFrame:
+    """The design with its split, in evenly sized files: training passes over it many times."""
     return star.once(
         "ml_split",
-        lambda: materialize(features.stratified_split(ml_design(star)), "ml_split"),
+        lambda: materialize(
+            features.stratified_split(ml_design(star)).hint("rebalance"), "ml_split"
+        ),
     )
 
 

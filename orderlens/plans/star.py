@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,13 @@ class Star:
     products: DataFrame
     sellers: DataFrame
     dates: DataFrame
+    derived: dict[str, object] = field(default_factory=dict, compare=False, repr=False)
+
+    def once(self, name: str, build: Callable[[], object]):
+        """Remember a written intermediate table (or a fitted model) under `name`."""
+        if name not in self.derived:
+            self.derived[name] = build()
+        return self.derived[name]
 
     def tables(self) -> dict[str, DataFrame]:
         return {

@@ -56,6 +56,26 @@ class SessionStar:
         ).tables()
 
 
+def build_session(master: str | None = None, name: str = "orderlens", **settings) -> SparkSession:
+    """A session with the settings the jobs expect; `settings` use underscores for dots.
+
+    Adaptive execution sizes shuffles and splits skewed joins; timestamps carry no zone.
+    """
+    builder = SparkSession.builder.appName(name)
+    if master:
+        builder = builder.master(master)
+    defaults = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.timestampType": "TIMESTAMP_NTZ",
+    }
+    given = {key.replace("_", "."): str(value) for key, value in settings.items()}
+    for key, value in {**defaults, **given}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 _stars: dict[tuple[str, str], SessionStar] = {}
 
 
