@@ -48,7 +48,9 @@ def bucket_order(value: Column, bounds: Sequence[float]) -> Column:
 
 
 def bucket_label(order: Column, labels: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), order)
+    # `element_at` on an array of literals does not pass a null index on, hence the guard.
+    label = F.element_at(F.array(*[F.lit(label) for label in labels]), order)
+    return F.when(order.isNotNull(), label)
 
 
 def magnitude(value: Column, steps: Sequence[tuple[float, str]], top: str) -> Column:
