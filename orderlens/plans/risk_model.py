@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators.ranks import rank_sums, running_totals, value_counts
 from orderlens.plans.risk_features import CATEGORICAL, KEYS, LABEL, NUMERIC, SEED
-from orderlens.sources.scratch import shared_root
+from orderlens.sources.scratch import new_path
 
 LR, RF = "Logistic Regression", "Random Forest"
 FOLDS = 5
@@ -140,11 +140,17 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def fit(name: str, train: DataFrame, **settings) -> PipelineModel:
-    """Fit one model to rows of the design (key, label, features)."""
-    shared_root(train.sparkSession)  # node ids are checkpointed there
+    """Fit one model to rows of the design (key, label, features).
+
+    The model is written and read back.  A freshly fitted one holds on to its training summary
+    and through it to the session, which cannot be sent to executors once the session has been
+    used to observe row counts.
+    """
+    path = new_path(train.sparkSession, "model")  # also names the folder of checkpoints
     rows, total = weighted(train)
     pipeline = logistic(total) if name == LR else forest(**settings)
-    return pipeline.fit(spread(rows))
+    pipeline.fit(spread(rows)).write().save(path)
+    return PipelineModel.load(path)
 
 
 def with_encoder(encoder: PipelineModel, model: PipelineModel) -> PipelineModel:
