@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators.order_stats import exact_median, order_statistics
 from orderlens.operators.skew import split_join
+from orderlens.sources.scratch import materialize
 
 KEYS = ["order_id", "order_item_id"]
 LABEL = "is_late"
@@ -84,8 +85,11 @@ def engineer(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
         .select("product_category", F.col("product_category").alias("kept"))
     )
     known = split_join(rows, seller_history(history), "seller_id", "left")
+    # Written first, so that its true size decides whether it is broadcast: a shuffle of all
+    # rows by state would leave most of them in a few tasks.
+    states = materialize(state_history(history), "state_history")
     return (
-        known.join(state_history(history), "customer_state", "left")
+        known.join(states, "customer_state", "left")
         .join(top, "product_category", "left")
         .withColumns(
             {
