@@ -16,9 +16,9 @@ from orderlens.plans.common import (
     delivered,
     delivered_dated,
     orders,
+    per_month,
     with_category,
     with_state,
-    year_month,
 )
 from orderlens.plans.star import FACT_COLUMNS
 
@@ -68,12 +68,11 @@ def null_profile(star) -> DataFrame:
 
 
 def trend_monthly(star) -> DataFrame:
-    return (
-        delivered(star.fact)
-        .groupBy(year_month().alias("year_month"))
-        .agg(orders().alias("orders"), exact_sum("total_item_value").alias("gmv"))
-        .orderBy("year_month")
-    )
+    return per_month(
+        delivered(star.fact),
+        orders().alias("orders"),
+        exact_sum("total_item_value").alias("gmv"),
+    ).orderBy("year_month")
 
 
 def _top_revenue(items: DataFrame, key: str, rows: int) -> DataFrame:

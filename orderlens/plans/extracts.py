@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from orderlens.functions.exact import exact_mean, exact_sum, half_even, hundredths
 from orderlens.plans.common import (
     delivered,
+    month_start,
     orders,
+    per_month,
     with_category,
     with_state,
     year_month,
@@ -32,20 +34,15 @@ def _late_rate() -> Column:
 
 def monthly_kpis(star) -> DataFrame:
     """Note that `avg_order_value` is a mean over items, as the dashboard defines it."""
-    return (
-        delivered(star.fact)
-        .where(F.col("order_date_key").isNotNull())
-        .groupBy(year_month().alias("year_month"))
-        .agg(
-            exact_sum("total_item_value").alias("total_gmv"),
-            orders().alias("total_orders"),
-            half_even(exact_mean("total_item_value")).alias("avg_order_value"),
-            half_even(F.lit(1.0) - F.avg("is_late")).alias("on_time_rate"),
-            half_even(exact_mean("delivery_days")).alias("avg_delivery_days"),
-            _review().alias("avg_review_score"),
-        )
-        .orderBy("year_month")
-    )
+    return per_month(
+        delivered(star.fact).where(F.col("order_date_key").isNotNull()),
+        exact_sum("total_item_value").alias("total_gmv"),
+        orders().alias("total_orders"),
+        half_even(exact_mean("total_item_value")).alias("avg_order_value"),
+        half_even(F.lit(1.0) - F.avg("is_late")).alias("on_time_rate"),
+        half_even(exact_mean("delivery_days")).alias("avg_delivery_days"),
+        _review().alias("avg_review_score"),
+    ).orderBy("year_month")
 
 
 def category_breakdown(star, category: str | None = None) -> DataFrame:
@@ -161,16 +158,12 @@ def leaderboard_by_state(leaderboard: DataFrame) -> DataFrame:
 
 def pivot_monthly(star) -> DataFrame:
     """Workbook pivot: counts item rows, not distinct orders."""
-    return (
-        delivered(star.fact)
-        .groupBy(year_month().alias("year_month"))
-        .agg(
-            exact_sum("total_item_value").alias("total_gmv"),
-            F.count("order_id").alias("order_count"),
-            F.round(exact_mean("total_item_value"), 6).alias("aov"),
-        )
-        .orderBy("year_month")
-    )
+    return per_month(
+        delivered(star.fact),
+        exact_sum("total_item_value").alias("total_gmv"),
+        F.count("order_id").alias("order_count"),
+        F.round(exact_mean("total_item_value"), 6).alias("aov"),
+    ).orderBy("year_month")
 
 
 def pivot_category(star) -> DataFrame:
@@ -255,9 +248,9 @@ def high_risk_flags(star, estimate_over: float = 30.0) -> DataFrame:
         (F.col("is_late") == 1) & (F.col("estimated_delivery_days") > estimate_over), 1
     ).otherwise(0)
     return (
-        star.fact.select(year_month().alias("year_month"), flag.alias("high_risk_flag"))
-        .groupBy("year_month", "high_risk_flag")
+        star.fact.groupBy(month_start().alias("month_start"), flag.alias("high_risk_flag"))
         .agg(F.count("*").alias("items"))
+        .select(year_month(), "high_risk_flag", "items")
         .orderBy("year_month", "high_risk_flag")
     )
 

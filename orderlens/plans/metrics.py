@@ -20,7 +20,9 @@ from orderlens.plans.common import (
     mean_days,
     mean_late_delay,
     mean_review,
+    month_start,
     orders,
+    per_month,
     with_category,
     with_state,
     year_month,
@@ -40,7 +42,8 @@ def gmv_overall(star) -> DataFrame:
 
 def gmv_monthly(star) -> DataFrame:
     """Monthly revenue and its growth over the previous month that has orders."""
-    monthly = delivered(star.fact).groupBy(year_month().alias("year_month")).agg(
+    monthly = per_month(
+        delivered(star.fact),
         orders().alias("orders"),
         exact_sum("total_item_value").alias("gmv"),
         half_up(exact_mean("total_item_value"), 2).alias("avg_item_value"),
@@ -184,19 +187,21 @@ def new_vs_returning(star) -> DataFrame:
     active = (
         delivered(star.fact)
         .where(F.col("customer_unique_id").isNotNull())
-        .select("customer_unique_id", year_month().alias("year_month"))
+        .select("customer_unique_id", month_start().alias("month_start"))
         .distinct()
     )
-    first = F.min("year_month").over(W.partitionBy("customer_unique_id"))
-    is_new = F.col("year_month") == F.col("first_month")
-    return (
+    first = F.min("month_start").over(W.partitionBy("customer_unique_id"))
+    is_new = F.col("month_start") == F.col("first_month")
+    monthly = (
         active.withColumn("first_month", first)
-        .groupBy("year_month")
+        .groupBy("month_start")
         .agg(
             F.count("*").alias("total_customers"),
             F.count_if(is_new).alias("new_customers"),
             F.count_if(~is_new).alias("returning_customers"),
             half_up(percent(F.count_if(~is_new), F.count("*")), 1).alias("returning_pct"),
         )
-        .orderBy("year_month")
     )
+    return monthly.select(
+        year_month(), "total_customers", "new_customers", "returning_customers", "returning_pct"
+    ).orderBy("year_month")
