@@ -32,9 +32,14 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     )
 
 
-def is_in(key: str, values: Sequence) -> Column:
-    """Null-safe membership test (a null key is not a member)."""
-    return F.coalesce(F.col(key).isin(list(values)), F.lit(False))
+def is_hot(key: str, hot: Sequence) -> Column:
+    """Rows of the hot keys; a plain list test, so that it reaches the file scan."""
+    return F.col(key).isin(list(hot))
+
+
+def is_ordinary(key: str, hot: Sequence) -> Column:
+    """All other rows, those without a key included."""
+    return F.col(key).isNull() | ~F.col(key).isin(list(hot))
 
 
 def split_join(
@@ -55,9 +60,9 @@ def split_join(
     hot = hot_keys(left, key, share) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    ordinary = left.where(~is_in(key, hot)).join(right.where(~is_in(key, hot)), key, how)
-    few = F.broadcast(right.where(is_in(key, hot)))
-    return ordinary.unionByName(left.where(is_in(key, hot)).join(few, key, how))
+    ordinary = left.where(is_ordinary(key, hot)).join(right.where(is_ordinary(key, hot)), key, how)
+    few = F.broadcast(right.where(is_hot(key, hot)))
+    return ordinary.unionByName(left.where(is_hot(key, hot)).join(few, key, how))
 
 
 def number_within(
@@ -72,8 +77,8 @@ def number_within(
     hot = hot_keys(df, key, share)
     if not hot:
         return df.withColumn(name, plain)
-    ordinary = df.where(~is_in(key, hot)).withColumn(name, plain)
-    heavy = df.where(is_in(key, hot))
+    ordinary = df.where(is_ordinary(key, hot)).withColumn(name, plain)
+    heavy = df.where(is_hot(key, hot))
     sizes = heavy.groupBy(key, second).agg(F.count("*").alias("_size"))
     running = W.partitionBy(key).orderBy(second).rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(
