@@ -54,6 +54,17 @@ def test_rows(star) -> DataFrame:
     return star.once("test_rows", build)
 
 
+def counted(star, *columns: str) -> DataFrame:
+    """Test rows per distinct combination of `columns`, written once.
+
+    Rank statistics and quartiles read these counts several times; the rows only once.
+    """
+    return star.once(
+        "counts of " + ", ".join(columns),
+        lambda: materialize(value_counts(test_rows(star), *columns), "counts"),
+    )
+
+
 def _significance(df: DataFrame, p: Column) -> DataFrame:
     return df.withColumn("p", p).withColumns(
         {
@@ -92,7 +103,7 @@ def pearson(star) -> DataFrame:
 
 def spearman(star) -> DataFrame:
     """Pearson correlation of mid-ranks, from the joint counts of (delay, score)."""
-    joint = value_counts(test_rows(star), "delivery_delay_days", "review_score")
+    joint = counted(star, "delivery_delay_days", "review_score")
     x = mid_ranks(joint, "delivery_delay_days").select(
         "delivery_delay_days", F.col("mid_rank").alias("x")
     )
@@ -213,7 +224,7 @@ def mean_diff_ci(star) -> DataFrame:
 
 def mann_whitney(star) -> DataFrame:
     """U of the on-time group with its tie-corrected, continuity-corrected z."""
-    counts = value_counts(test_rows(star), "is_late", "review_score")
+    counts = counted(star, "is_late", "review_score")
     sums = rank_sums(counts, "review_score", "is_late")
 
     def of(late: int, name: str) -> Column:
@@ -242,9 +253,9 @@ def mann_whitney(star) -> DataFrame:
 
 def top_states(star, states: int = 10) -> DataFrame:
     return (
-        test_rows(star)
+        counted(star, "customer_state", "delivery_days")
         .groupBy("customer_state")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "customer_state")
         .limit(states)
         .select("customer_state")
@@ -298,10 +309,8 @@ def anova(star, states: int = 10) -> DataFrame:
 
 def kruskal(star, states: int = 10) -> DataFrame:
     """Tie-corrected H over the states with most items."""
-    counts = value_counts(
-        test_rows(star).join(top_states(star, states), "customer_state", "left_semi"),
-        "customer_state",
-        "delivery_days",
+    counts = counted(star, "customer_state", "delivery_days").join(
+        top_states(star, states), "customer_state", "left_semi"
     )
     ties = tie_term(counts, "delivery_days").select("tie_term").scalar()
     total = F.col("total")
@@ -331,12 +340,9 @@ def state_mean_ci(star, states: int = 10) -> DataFrame:
 # --- box summaries -------------------------------------------------------------------------
 
 
-def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles per group and the extreme values within 1.5 interquartile ranges of them.
-
-    Both steps read the counts of distinct values.
-    """
-    counts = value_counts(df.where(F.col(value).isNotNull()), group, value)
+def box_summary(counts: DataFrame, group: str, value: str) -> DataFrame:
+    """Quartiles per group and the extreme values within 1.5 interquartile ranges of them,
+    from counts `n` per (group, value)."""
     quartiles = counts.groupBy(group).agg(
         F.percentile(value, [0.25, 0.5, 0.75], F.col("n")).alias("q")
     )
@@ -362,8 +368,12 @@ def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def box_by_delay(star) -> DataFrame:
-    classed = test_rows(star).withColumn(
-        "bucket", bucket_order(F.col("delivery_delay_days"), DELAY_CLASS_BOUNDS)
+    bucket = bucket_order(F.col("delivery_delay_days"), DELAY_CLASS_BOUNDS).alias("bucket")
+    classed = (
+        counted(star, "delivery_delay_days", "review_score")
+        .where(F.col("delivery_delay_days").isNotNull())
+        .groupBy(bucket, "review_score")
+        .agg(F.sum("n").alias("n"))
     )
     return (
         box_summary(classed, "bucket", "review_score")
@@ -374,8 +384,10 @@ def box_by_delay(star) -> DataFrame:
 
 
 def box_by_state(star, states: int = 10) -> DataFrame:
-    rows = test_rows(star).join(top_states(star, states), "customer_state", "left_semi")
-    return box_summary(rows, "customer_state", "delivery_days").withColumnRenamed(
+    counts = counted(star, "customer_state", "delivery_days").join(
+        top_states(star, states), "customer_state", "left_semi"
+    )
+    return box_summary(counts, "customer_state", "delivery_days").withColumnRenamed(
         "customer_state", "class"
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators.ranks import rank_sums, running_totals, value_counts
 from orderlens.plans.risk_features import CATEGORICAL, KEYS, LABEL, NUMERIC, SEED
-from orderlens.sources.scratch import new_path
+from orderlens.sources.scratch import materialize, new_path
 
 LR, RF = "Logistic Regression", "Random Forest"
 FOLDS = 5
@@ -216,8 +216,11 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """Exact area per single-model frame, from the rank sum of the late rows."""
-    counts = value_counts(rows, LABEL, "probability")
+    """Exact area per single-model frame, from the rank sum of the late rows.
+
+    Counts per score are written first: the scores themselves are read once.
+    """
+    counts = materialize(value_counts(rows, LABEL, "probability"), "score_counts")
     n = F.col("n").cast("double")
     late = F.col(LABEL) == 1
     n1, n0, r1 = F.col("n1"), F.col("n0"), F.col("r1")
