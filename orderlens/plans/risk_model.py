@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import statistics
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -24,9 +25,9 @@ FOLDS = 5
 # Model settings, defaults of the batch scorer, risk tiers (in percent) and
 # driver thresholds.
 FOREST = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5}
-# How the forest is computed: candidate splits per number, memory for node statistics, and
-# node ids kept per row (checkpointed every ten levels) instead of walking every tree anew.
-FOREST_TUNING = {"maxBins": 128, "maxMemoryInMB": 512, "cacheNodeIds": True}
+# How the forest is computed: candidate splits per number, and node ids kept per row
+# (checkpointed every ten levels) instead of walking every tree anew.
+FOREST_TUNING = {"maxBins": 128, "cacheNodeIds": True}
 LR_ITERATIONS = 1000
 SCORING_DEFAULTS = {
     "payment_installments": 1.0, "product_volume_cm3": 5000.0, "product_photos_qty": 1.0,
@@ -121,6 +122,21 @@ def logistic(total: int) -> Pipeline:
     )
 
 
+def node_memory_mb(spark: SparkSession) -> int:
+    """Memory per task for node statistics: a fifth of what one core has, within 16 MB to 2 GB.
+
+    Every running task holds that much; more memory means fewer passes over the rows.
+    """
+    conf, context = spark.sparkContext.getConf(), spark.sparkContext
+    local = context.master.startswith("local")
+    size = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024**2}
+    number, unit = re.fullmatch(r"([0-9]+)([kmgt]?)b?", size).groups()
+    megabytes = int(number) * (units[unit] if unit else 1)
+    cores = context.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return max(16, min(2048, int(megabytes / cores / 5)))
+
+
 def forest(**settings) -> Pipeline:
     return Pipeline(
         stages=[
@@ -148,7 +164,8 @@ def fit(name: str, train: DataFrame, **settings) -> PipelineModel:
     """
     path = new_path(train.sparkSession, "model")  # also names the folder of checkpoints
     rows, total = weighted(train)
-    pipeline = logistic(total) if name == LR else forest(**settings)
+    memory = node_memory_mb(train.sparkSession)
+    pipeline = logistic(total) if name == LR else forest(maxMemoryInMB=memory, **settings)
     pipeline.fit(spread(rows)).write().save(path)
     return PipelineModel.load(path)
 
