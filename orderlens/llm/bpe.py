@@ -57,7 +57,7 @@ NEW_NUMBERS = (
 
 
 @lru_cache(1)
-def _classes() -> np.ndarray:
+def character_classes() -> np.ndarray:
     """Letter, number, white space or other, for every code point."""
     table = np.full(0x110000, OTHER, np.uint8)
     kind = {"L": LETTER, "N": NUMBER}
@@ -80,7 +80,7 @@ def piece_starts(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     starts a piece takes the endings s, t, m, d, re, ve, ll with it.
     """
     n = len(codes)
-    kind = _classes()[codes]
+    kind = character_classes()[codes]
     start = np.ones(n, bool)
     np.not_equal(kind[1:], kind[:-1], out=start[1:])
     text_start = np.zeros(n + 3, bool)

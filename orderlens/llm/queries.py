@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, packing
+from pyspark.sql import functions as F
+
+from orderlens.llm import bpe, packing, toxicity
+from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,9 +27,22 @@ def op9_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encoded(_table(spark, directory, "documents"), VOCABULARY, projection=bpe.DIGESTS)
 
 
+def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents")
+    model = toxicity.fit(docs, _table(spark, directory, "labels"))
+    return _judged(toxicity.scored(docs, model), 0.3)
+
+
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
