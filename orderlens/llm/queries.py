@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, packing, toxicity
+from orderlens.llm import bpe, packing, quality, toxicity
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.packed(_table(spark, directory, "documents"), VOCABULARY, projection=packing.CHECKSUM)
 
 
+def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents")
+    model = quality.fit(docs, _table(spark, directory, "labels"))
+    return _judged(quality.scored(docs, model), 0.7)
+
+
 def op9_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encoded(_table(spark, directory, "documents"), VOCABULARY, projection=bpe.DIGESTS)
 
@@ -41,6 +47,7 @@ def _judged(scores: DataFrame, threshold: float) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
