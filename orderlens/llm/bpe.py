@@ -509,8 +509,8 @@ def text_or_empty(column: str) -> Column:
 
 
 def small_batches(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
-    """The first column and the texts of the second, a few million characters at a time."""
+    """The first column and the texts of the second, about a million characters at a time."""
     sizes = pc.binary_length(batch.column(1)).to_pylist()
-    for start, end in ct.groups(sizes, 2 * ct.CHUNK_CHARS):
+    for start, end in ct.groups(sizes):
         part = batch.slice(start, end - start)
         yield part.column(0), part.column(1).to_pylist()

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 # Characters handled at once; a longer text is taken in pieces where the caller can cut it.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 1_000_000
 
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = (

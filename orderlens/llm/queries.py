@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, packing, quality, toxicity
+from orderlens.llm import bpe, exact_search, near_search, packing, quality, toxicity
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,14 @@ def op1_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.packed(_table(spark, directory, "documents"), VOCABULARY, projection=packing.CHECKSUM)
 
 
+def op2_near_search(spark: SparkSession, directory: str) -> DataFrame:
+    return near_search.nearest(_table(spark, directory, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_exact_search(spark: SparkSession, directory: str) -> DataFrame:
+    return exact_search.top_k(_table(spark, directory, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
     docs = _table(spark, directory, "documents")
     model = quality.fit(docs, _table(spark, directory, "labels"))
@@ -47,9 +55,29 @@ def _judged(scores: DataFrame, threshold: float) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_near_search": op2_near_search,
+    "op4_exact_search": op4_exact_search,
     "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_exact_search": """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM vectors q JOIN vectors r ON q.vec_id <> r.vec_id
+            WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM scores
+        QUALIFY rank <= 20
+    """,
+}

@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         return Model(lexicon, None, None, sample.prior)
     trees = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxDepth=3, maxIter=12, stepSize=0.3, seed=7,
-        minInstancesPerNode=20,
+        minInstancesPerNode=5,
     ).fit(grown)
     held = trees.transform(table.where(~F.col("fold").isin(*FOLDS_TREES))).select("label", "weight", _probability().alias("raw"))
     calibration = None
