@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, exact_search, near_search, packing, quality, toxicity
+from orderlens.llm import bpe, exact_search, near_search, packing, quality, sharding, toxicity
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,14 @@ def op4_exact_search(spark: SparkSession, directory: str) -> DataFrame:
     return exact_search.top_k(_table(spark, directory, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op5_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    places = sharding.sharded(_table(spark, directory, "documents"), ["lang", "source", "n_chars"], 24)
+    return places.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
 def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
     docs = _table(spark, directory, "documents")
     model = quality.fit(docs, _table(spark, directory, "labels"))
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_search": op2_near_search,
     "op4_exact_search": op4_exact_search,
+    "op5_sharding": op5_sharding,
     "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
