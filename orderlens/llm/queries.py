@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, exact_search, near_search, packing, quality, sharding, toxicity
+from orderlens.llm import bpe, exact_search, near_search, packing, quality, secretscan, sharding, toxicity
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,20 @@ def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
     return _judged(quality.scored(docs, model), 0.7)
 
 
+def op8_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
+    found = secretscan.scanned(_table(spark, directory, "documents"))
+    base = F.filter("_spans", lambda s: s["kind"] != "random")
+    counts = [
+        F.size(F.filter("_spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")
+    ]
+    digest = F.sha2(secretscan.joined(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secretscan.joined(F.col("_spans")).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def op9_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encoded(_table(spark, directory, "documents"), VOCABULARY, projection=bpe.DIGESTS)
 
@@ -67,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_search": op4_exact_search,
     "op5_sharding": op5_sharding,
     "op7_quality": op7_quality,
+    "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
