@@ -88,7 +88,20 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(total)
 
 
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).view(np.int8)))
-    return edge[::2], edge[1::2]
+def spans(mask: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values, cut at text edges, and the text of each.
+
+    Text i covers `edges[i]` to `edges[i + 1]`.
+    """
+    if not len(mask):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    first = mask.copy()
+    first[1:] &= ~mask[:-1]
+    begin = edges[:-1][np.diff(edges) > 0]
+    first[begin] = mask[begin]
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(mask))
+    filled = np.append(0, np.cumsum(mask))
+    ends = starts + (filled[ends] - filled[starts])
+    return starts, ends, np.searchsorted(edges, starts, side="right") - 1

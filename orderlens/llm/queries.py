@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, exact_search, near_search, packing, quality, secretscan, sharding, toxicity
+from orderlens.llm import bpe, exact_search, near_search, ngram_join, packing, quality, secretscan, sharding, toxicity
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,10 @@ def op5_sharding(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
+    return ngram_join.joined(_table(spark, directory, "documents"), words=4, bound=ngram_join.Bound(85, 100))
+
+
 def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
     docs = _table(spark, directory, "documents")
     model = quality.fit(docs, _table(spark, directory, "labels"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_search": op2_near_search,
     "op4_exact_search": op4_exact_search,
     "op5_sharding": op5_sharding,
+    "op6_ngram_join": op6_ngram_join,
     "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,

@@ -44,18 +44,7 @@ class Texts:
 
     def spans(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of true characters, cut where a text ends; with the text of each."""
-        if not len(mask):
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        first = mask.copy()
-        first[1:] &= ~mask[:-1]
-        edge = self.edges[:-1][self.sizes > 0]
-        first[edge] = mask[edge]
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(mask))
-        filled = np.append(0, np.cumsum(mask))
-        ends = starts + (filled[ends] - filled[starts])
-        return starts, ends, np.searchsorted(self.edges, starts, side="right") - 1
+        return ct.spans(mask, self.edges)
 
     def count(self, mask: np.ndarray) -> np.ndarray:
         """True characters of each text."""
