@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, exact_search, near_search, ngram_join, packing, quality, secretscan, sharding, toxicity
+from orderlens.llm import bpe, exact_search, near_search, ngram_join, packing, quality, sanitise, secretscan, sharding, toxicity
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,16 @@ def op2_near_search(spark: SparkSession, directory: str) -> DataFrame:
     return near_search.nearest(_table(spark, directory, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op3_sanitise(spark: SparkSession, directory: str) -> DataFrame:
+    found = sanitise.found(_table(spark, directory, "documents"), ["doc_id"])
+    counts = [
+        F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS[:4])
+    ]
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    digest = F.sha2(sanitise.joined(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, sanitise.joined(F.col("spans")).alias("spans"))
+
+
 def op4_exact_search(spark: SparkSession, directory: str) -> DataFrame:
     return exact_search.top_k(_table(spark, directory, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
@@ -59,7 +69,7 @@ def op8_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, secretscan.joined(F.col("_spans")).alias("spans"))
 
 
-def _of_kind(kind: str):
+def _of_kind(kind: str | int):
     return lambda span: span["kind"] == kind
 
 
@@ -82,6 +92,7 @@ def _judged(scores: DataFrame, threshold: float) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_search": op2_near_search,
+    "op3_sanitise": op3_sanitise,
     "op4_exact_search": op4_exact_search,
     "op5_sharding": op5_sharding,
     "op6_ngram_join": op6_ngram_join,
