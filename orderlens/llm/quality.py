@@ -215,23 +215,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return train(texts, np.stack(rows["statistics"].to_list()), rows["label"].to_numpy(), rows["weight"].to_numpy())
 
 
-def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Id and `score` (0 to 1, higher: label 1 likelier) of every row.
+def scored(
+    docs: DataFrame,
+    model: Model,
+    id_column: str = "doc_id",
+    text: str = "text",
+    score: str = "score",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The id (or the columns `keep`) and `score` (0 to 1, higher: label 1 likelier) of every row.
 
     Null texts count as empty; texts without words are scored from their statistics (all zero).
-    Repeated rows and null ids are scored each; other columns are not read.
+    Repeated rows and null ids are scored each; other columns are not read.  With `keep`, the score's
+    column is `_score`, so that it clashes with no kept column.
     """
+    columns, score = (keep, "_score") if keep else ([id_column], score)
     if model.constant is not None:
-        return docs.select(id_column, F.lit(float(model.constant)).alias("score"))
-    schema = docs.select(id_column).schema.add("score", "double")
+        return docs.select(*columns, F.lit(float(model.constant)).alias(score))
+    row = docs.select(*columns)
+    schema, n = row.schema.add(score, "double"), len(columns)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         machine = Model(*broadcast.value)
         for batch in batches:
-            for keys, texts in small_batches(batch):
+            pair = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(n)], names=["row", "text"])
+            for rows, texts in small_batches(pair):
                 t = Texts(texts)
                 raw = raw_scores(machine, t.n, *word_columns(t), statistic_columns(statistics(t), machine.cuts))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(_logistic(raw))], names=schema.names)
+                part = batch.slice(rows[0].as_py(), len(rows))
+                values = [*(part.column(i) for i in range(n)), pa.array(_logistic(raw))]
+                yield pa.RecordBatch.from_arrays(values, names=schema.names)
 
-    return docs.select(id_column, text_or_empty(text)).mapInArrow(work, schema)
+    return docs.select(*columns, text_or_empty(text).alias("_text")).mapInArrow(work, schema)

@@ -280,18 +280,27 @@ def _probability() -> Column:
     return vector_to_array("probability")[1]
 
 
-def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Id and `score` (0 to 1) of every row.
+def scored(
+    docs: DataFrame,
+    model: Model,
+    id_column: str = "doc_id",
+    text: str = "text",
+    score: str = "score",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The id (or the columns `keep`) and `score` (0 to 1) of every row.
 
     Null texts count as empty, empty texts and texts without words are scored like any other from
     their zero features; repeated rows and null ids are scored each; other columns are not read.
+    With `keep`, the score's column is `_score`, so that it clashes with no kept column.
     """
+    columns, score = (keep, "_score") if keep else ([id_column], score)
     if model.trees is None:
-        return docs.select(id_column, F.lit(float(model.prior)).alias("score"))
-    table = with_features(docs, model.lexicon, [id_column], text)
+        return docs.select(*columns, F.lit(float(model.prior)).alias(score))
+    row = F.struct(*columns).alias("_row")  # kept columns may be called like features
+    table = with_features(docs.select(row, F.col(text).alias("_text")), model.lexicon, ["_row"], "_text")
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    table = model.trees.transform(table).withColumn("raw", _probability())
-    if model.calibration is None:
-        return table.select(id_column, F.col("raw").alias("score"))
-    done = model.calibration.transform(table.select(id_column, "raw"))
-    return done.select(id_column, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")).alias("score"))
+    table = model.trees.transform(table).select("_row", _probability().alias("raw"))
+    if model.calibration is not None:
+        table = model.calibration.transform(table).withColumn("raw", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")))
+    return table.select("_row.*", F.col("raw").alias(score))
