@@ -120,7 +120,8 @@ def safe_chunks(text: str, limit: int = ct.CHUNK_CHARS) -> Iterator[str]:
             cut += 1
         yield text[done:cut]
         done = cut
-    yield text[done:]
+    if done < len(text):
+        yield text[done:]
 
 
 # ---- merging ------------------------------------------------------------------------------------
