@@ -155,6 +155,8 @@ def _frequency_classes(described: DataFrame) -> np.ndarray:
         total, "part int, counts binary"
     )
     rows = sorted(parts.collect())
+    if not rows:  # an empty table
+        return np.zeros(1 << SKETCH_BITS, np.uint64)
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
     return (8 * np.log2(counts + 1.0)).astype(np.uint64)
 
