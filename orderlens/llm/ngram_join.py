@@ -14,7 +14,8 @@ found without comparing all pairs and without losing any:
 4. What is left are inverted lists, cut into blocks.  For each node, DivideSkip finds the nodes of
    other components that occur on T of its lists: short lists are merged with a heap that skips
    ahead, long ones are probed by binary search.
-5. Candidates are compared exactly, set against set.
+5. Candidates are compared exactly, set against set, in blocks of queries and candidates: a text is
+   sent once to each pair of blocks that needs it, not once for each pair of texts.
 
 A link is lost only if two different shingles have the same 64-bit hash.
 """
@@ -43,6 +44,7 @@ MINHASHES = 3
 OCCURRENCES = 4  # T: common rare shingles that make a candidate
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 LIST_BLOCK = 1_000
+TEXT_BLOCK = 64  # nodes of a block when candidates are compared block by block
 
 
 class Bound(NamedTuple):
@@ -253,7 +255,8 @@ def divide_skip(lists: list[list[int]], least: int) -> list[int]:
 
 
 def _candidates(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: int, bound: Bound) -> DataFrame:
-    """Pairs of nodes of different components that share T rare shingles."""
+    """For each node the smaller ones of other components that share T rare shingles with it, by
+    blocks: `qb` and `cb` are those of the node and of its candidates."""
     ranks = docs.sparkSession.sparkContext.broadcast(classes.astype(np.uint16))
 
     def post(batches):
@@ -289,6 +292,7 @@ def _candidates(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: i
         F.array_sort(F.collect_set(F.struct("node", "root", "n"))).alias("members")
     )
     lists = materialize(lists, "inverted_lists")
+    n_blocks = max(1, -(-kept.select("node").distinct().count() // TEXT_BLOCK))
     asked = kept.select("shingle", F.col("node").alias("query"), F.col("root").alias("_root"), F.col("n").alias("_n"))
     smaller = lambda m: (m["n"] < F.col("_n")) | ((m["n"] == F.col("_n")) & (m["node"] < F.col("query")))
     fits = lambda m: (m["root"] != F.col("_root")) & (bound.bottom * m["n"] >= bound.top * F.col("_n"))
@@ -298,15 +302,106 @@ def _candidates(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: i
         .where(F.size("list") > 0)
         .select("query", "_n", "block", "list")
     )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["_n"].iloc[0])
+        n, query = int(rows["_n"].iloc[0]), int(rows["query"].iloc[0])
         # A partner has at least least(n) elements, so this holds for every pair.
         need = int(min(bound.occurrences(n), bound.occurrences(bound.least(n))))
-        found = divide_skip([x.tolist() for x in rows["list"]], need)
-        return pd.DataFrame({"a": np.array(found, np.int64), "b": np.int64(rows["query"].iloc[0])})
+        by_block: dict[int, list[int]] = {}
+        for node in divide_skip([x.tolist() for x in rows["list"]], need):
+            by_block.setdefault(_block(node, n_blocks), []).append(node)
+        return pd.DataFrame(
+            {
+                "qb": np.full(len(by_block), _block(query, n_blocks), np.int32),
+                "cb": np.array(list(by_block), np.int32),
+                "node": np.full(len(by_block), query, np.int64),
+                "candidates": pd.Series(list(by_block.values()), dtype=object),
+            }
+        )
+
+    found = met.repartition(parts, "query").groupBy("query").applyInPandas(
+        search, "qb int, cb int, node long, candidates array<long>"
+    )
+    return materialize(found, "candidates")
+
+
+def _block(node: int, n: int) -> int:
+    return (node * 0x9E3779B97F4A7C15 % (1 << 64)) * n >> 64
+
+
+def _linked_in_blocks(candidates: DataFrame, docs: DataFrame, words: int, bound: Bound) -> DataFrame:
+    """Links among candidates, compared set against set; pairs that links of the same pair of blocks
+    connect already are skipped."""
+    sought = (
+        candidates.groupBy("qb", "cb")
+        .agg(F.array_distinct(F.flatten(F.collect_list("candidates"))).alias("nodes"))
+        .select("qb", "cb", F.explode("nodes").alias("node"), F.lit(None).cast("array<long>").alias("candidates"))
+    )
+    text = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = materialize(candidates.unionByName(sought), "compared_nodes")
+    rows = (
+        wanted.join(text, "node")
+        .select("qb", "cb", "node", "candidates", "text")
+        .repartition(parts, "qb", "cb")
+        .sortWithinPartitions("qb", "cb")
+    )
+
+    def compared(group: list[tuple]) -> list[tuple[int, int]]:
+        links: list[tuple[int, int]] = []
+        sets = shingle_sets([g[3] for g in group], words)
+        begin = 0
+        while begin < len(group):
+            end = begin
+            by_node: dict[int, list[np.ndarray]] = {}
+            while end < len(group) and group[end][0] == group[begin][0]:
+                by_node.setdefault(group[end][1], []).append(sets[end])
+                end += 1
+            parent = {n: n for n in by_node}
+
+            def find(n):
+                while parent[n] != n:
+                    parent[n] = n = parent[parent[n]]
+                return n
+
+            for _, query, others, _ in group[begin:end]:
+                for other in others or ():
+                    if find(query) == find(other):
+                        continue
+                    # Rows that repeat an id are one document with several texts.
+                    if any(
+                        bound.holds(overlap(x, y), len(x), len(y))
+                        for x in by_node[query] for y in by_node.get(other, ())
+                    ):
+                        parent[find(query)] = find(other)
+                        links.append((query, other))
+            begin = end
+        return links
+
+    def work(batches):
+        waiting: list[tuple] = []
+        size = 0
+
+        def flush(count):
+            links = compared(waiting[:count])
+            del waiting[:count]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"]
+            )
+
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for key, node, others, body in zip(keys, *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if size > ct.CHUNK_CHARS and waiting[-1][0] != key:
+                    yield flush(len(waiting))
+                    size = 0
+                waiting.append((key, node, others, body))
+                size += len(body)
+        if waiting:
+            yield flush(len(waiting))
 
-    return materialize(met.groupBy("query").applyInPandas(search, "a long, b long"), "candidates")
+    return materialize(rows.mapInArrow(work, "a long, b long"), "links")
 
 
 # ---- the join -----------------------------------------------------------------------------------
@@ -332,7 +427,7 @@ def joined(docs: DataFrame, words: int = 5, bound: Bound = Bound()) -> DataFrame
     grouped = components(near)
     known = nodes.select("node").distinct().join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     candidates = _candidates(docs, materialize(known, "known_roots"), _frequency_classes(described), words, bound)
-    links = near.unionByName(_linked(candidates, docs, words, bound))
+    links = near.unionByName(_linked_in_blocks(candidates, docs, words, bound))
     roots = nodes.select("set_key", "node").join(components(links), "node", "left")
     roots = materialize(roots.select("set_key", F.coalesce("root", "node").alias("root")), "set_roots")
     return rows.join(roots, "set_key", "left").select(
