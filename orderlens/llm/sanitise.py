@@ -127,30 +127,46 @@ def _near(words: Words, first: int, last: int, span: Span) -> np.ndarray:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """A row for each word near an entity: kind, hash, term and a hash of the entity."""
-    schema = "kind int, hash long, term string, entity long"
+    """Words near entities, by document: kind, hash, term, and either the entity and one position
+    near it, or how often the document has the term.  Rows without a kind count all words."""
+    names = ["kind", "hash", "term", "entity", "near", "within"]
+    types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    schema = "kind int, hash long, term string, entity long, near long, within long"
 
     def work(batches):
+        total = 0
         for batch in batches:
             for _, texts in small_batches(batch):
-                found = [(t, s) for t in texts if (s := entities(t))]
-                if not found:
-                    continue
-                words = words_of([t for t, _ in found])
-                edge = np.searchsorted(words.owner, np.arange(len(found) + 1))
+                spans_of = [entities(t) for t in texts]
+                words = words_of(texts)
+                total += len(words.hash)
+                edge = np.searchsorted(words.owner, np.arange(len(texts) + 1))
                 out = []
-                for i, (text, spans) in enumerate(found):
+                for i, (text, spans) in enumerate(zip(texts, spans_of, strict=True)):
+                    if not spans:
+                        continue
                     nearest: dict[tuple[int, int], int] = {}
                     for s in spans:
                         value = zlib.crc32(text[s.start : s.end].encode())
                         for w in _near(words, edge[i], edge[i + 1], s).tolist():
                             nearest.setdefault((s.kind, w), value)
+                    own = np.sort(words.hash[edge[i] : edge[i + 1]])
+                    terms: dict[tuple[int, int], str] = {}
                     for (kind, w), value in nearest.items():
-                        term = text[words.start[w] : words.end[w]].lower()
-                        out.append((kind, int(words.hash[w].view(np.int64)), term, value))
+                        h = words.hash[w]
+                        term = terms.setdefault(
+                            (kind, int(h.view(np.int64))), text[words.start[w] : words.end[w]].lower()
+                        )
+                        out.append((kind, int(h.view(np.int64)), term, value, 1, 0))
+                    for (kind, h), term in terms.items():
+                        u = np.int64(h).view(np.uint64)
+                        n = int(np.searchsorted(own, u, side="right") - np.searchsorted(own, u, side="left"))
+                        out.append((kind, h, term, None, 0, n))
                 if out:
-                    columns = [pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.string(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["kind", "hash", "term", "entity"])
+                    columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        count = [None, None, None, None, total, 0]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(count, types, strict=True)], names=names)
 
     return docs.mapInArrow(work, schema)
 
@@ -174,18 +190,23 @@ def _bit_table(terms: DataFrame) -> np.ndarray:
 
 
 def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """`hash, times` of at least all `terms` over all texts; a null hash has the number of words."""
+    """`hash, times` of at least all `terms` over all texts."""
     flags = docs.sparkSession.sparkContext.broadcast(_bit_table(terms))
 
     def work(batches):
+        found = np.zeros(0, np.uint64)
         for batch in batches:
             for _, texts in small_batches(batch):
                 hashes = words_of(texts).hash
-                distinct, times = np.unique(hashes[flags.value[_bit(hashes)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None, *distinct.view(np.int64)], pa.int64()), pa.array([len(hashes), *times], pa.int64())],
-                    names=["hash", "times"],
-                )
+                found = np.concatenate([found, hashes[flags.value[_bit(hashes)]]])
+                if len(found) > 1_000_000:
+                    yield counted(found)
+                    found = found[:0]
+        yield counted(found)
+
+    def counted(found):
+        distinct, times = np.unique(found, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(times)], names=["hash", "times"])
 
     return docs.mapInArrow(work, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times"))
 
@@ -194,29 +215,39 @@ def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
     """`kind, hash, term, ratio` of every term at or above `GENERALISE`.
 
     Counts cover all texts.  A term needs `SUPPORT` different entities near it, since a rare word
-    beside a single one says nothing.
+    beside a single one says nothing.  The documents that hold entities have each term a number of
+    times already; terms too frequent there for the ratio need not be counted elsewhere.
     """
     docs = df.select(F.lit(0).alias("none"), text_or_empty(text))
     near = materialize(
         _contexts(docs)
         .groupBy("kind", "hash", "entity")
-        .agg(F.count("*").alias("times"), F.min("term").alias("term"))
+        .agg(F.sum("near").alias("near"), F.sum("within").alias("within"), F.min("term").alias("term"))
         .groupBy("kind", "hash")
-        .agg(F.sum("times").alias("near"), F.count("*").alias("entities"), F.min("term").alias("term")),
+        .agg(
+            F.sum("near").alias("near"), F.sum("within").alias("within"), F.count("entity").alias("entities"),
+            F.min("term").alias("term"),
+        ),
         "contexts",
-    )
+    )
     positions = {r["kind"]: r["n"] for r in near.groupBy("kind").agg(F.sum("near").alias("n")).collect()}
-    candidates = materialize(near.where(F.col("entities") >= SUPPORT), "context_terms")
+    words = float(positions.pop(None, 0))
+    if not positions:
+        return near.where("false").select("kind", "hash", "term", F.lit(0.0).alias("ratio"))
+    by_kind = lambda f: F.create_map(*(F.lit(x) for k, n in positions.items() for x in (k, f(n))))[F.col("kind")]
+    information = by_kind(lambda n: math.log2(words / n) if n < words else 1e-9)
+
+    def ratio(times: str) -> Column:
+        return F.log2(F.lit(words) * F.col("near") / (F.col(times) * by_kind(float))) / information
+
+    candidates = materialize(
+        near.where((F.col("entities") >= SUPPORT) & (ratio("within") >= GENERALISE)), "context_terms"
+    )
     if candidates.isEmpty():
         return candidates.select("kind", "hash", "term", F.lit(0.0).alias("ratio"))
-    counts = materialize(_frequencies(docs, candidates), "term_counts")
-    words = counts.where("hash is null").first()["times"]
-    information = F.create_map(*(F.lit(x) for k, n in positions.items() for x in (k, math.log2(words / n) if n < words else 1e-9)))
-    number = F.create_map(*(F.lit(x) for k, n in positions.items() for x in (k, float(n))))
-    pmi = F.log2(F.lit(float(words)) * F.col("near") / (F.col("times") * number[F.col("kind")]))
     return (
-        candidates.join(counts.where("hash is not null"), "hash")
-        .withColumn("ratio", pmi / information[F.col("kind")])
+        candidates.join(_frequencies(docs, candidates), "hash")
+        .withColumn("ratio", ratio("times"))
         .where(F.col("ratio") >= GENERALISE)
         .select("kind", "hash", "term", "ratio")
     )
