@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.operators.skew import number_within
+from orderlens.session import SessionStar
 from orderlens.sources.raw_csv import RawTables
 
 PAYMENT_TYPES = ("boleto", "credit_card", "debit_card", "voucher")
@@ -192,3 +193,14 @@ def derive_raw(spark: SparkSession, directory: str) -> RawTables:
         sellers=sellers,
         category_translation=translation,
     )
+
+
+_stars: dict[tuple[str, str], SessionStar] = {}
+
+
+def session_star(spark: SparkSession, directory: str) -> SessionStar:
+    """The star over the raw tables derived from a data directory, one for each session."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _stars:
+        _stars[key] = SessionStar(derive_raw(spark, directory))
+    return _stars[key]

@@ -15,6 +15,9 @@ from orderlens.session import build_session
 from orderlens.sources import store
 from orderlens.sources.raw_csv import read_raw
 
+# Rows of a report that are printed; files hold all.
+SHOWN = 100
+
 
 def _etl(spark: SparkSession, args: argparse.Namespace) -> None:
     raw = read_raw(spark, args.raw, args.prefix)
@@ -31,8 +34,9 @@ def _show(df: DataFrame, name: str, out: str | None) -> None:
     if out:
         store.write_csv(df, f"{out}/{name}")
     else:
-        print(name)
-        df.show(100, truncate=False)
+        rows = df.count()
+        print(name if rows <= SHOWN else f"{name}: the first {SHOWN} of {rows} rows; --out writes all")
+        df.show(SHOWN, truncate=False)
 
 
 def _report(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -13,8 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TINY = 1e-300
-_STEPS = 10_000
+_STEPS = 100_000
 _PRECISION = 1e-15
+# From these degrees of freedom on, expansions about the limit are exact to double precision, while
+# continued fractions would need about the square root of them in steps.
+_MANY_T, _MANY_F = 1e5, 1e7
 
 
 def _continued_beta(a: float, b: float, x: float) -> float:
@@ -32,21 +35,30 @@ def _continued_beta(a: float, b: float, x: float) -> float:
             c = c if abs(c) > _TINY else _TINY
             value *= d * c
         if abs(d * c - 1.0) < _PRECISION:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"incomplete beta of {a}, {b} at {x} does not converge")
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
-    if x <= 0.0 or x >= 1.0:
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)); for large a by Stirling's series, which does not cancel."""
+    if a < 1e3:
+        return math.lgamma(a + b) - math.lgamma(a)
+    series = lambda z: 1 / (12 * z) - 1 / (360 * z**3)
+    return (a + b - 0.5) * math.log1p(b / a) + b * math.log(a) - b + series(a + b) - series(a)
+
+
+def incomplete_beta(a: float, b: float, x: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function I_x(a, b); `rest` is 1 - x where it is known better."""
+    rest = 1.0 - x if rest is None else rest
+    if x <= 0.0 or rest <= 0.0:
         return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
+    small, large = sorted((a, b))
+    log_x = math.log1p(-rest) if rest < 0.5 else math.log(x)
+    log_rest = math.log(rest) if rest < 0.5 else math.log1p(-x)
+    front = math.exp(_log_gamma_ratio(large, small) - math.lgamma(small) + a * log_x + b * log_rest)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _continued_beta(a, b, x) / a
-    return 1.0 - front * _continued_beta(b, a, 1.0 - x) / b
+    return 1.0 - front * _continued_beta(b, a, rest) / b
 
 
 def upper_gamma(a: float, x: float) -> float:
@@ -60,8 +72,8 @@ def upper_gamma(a: float, x: float) -> float:
             term *= x / (a + n)
             total += term
             if term < total * _PRECISION:
-                break
-        return 1.0 - front * total
+                return 1.0 - front * total
+        raise ArithmeticError(f"incomplete gamma of {a} at {x} does not converge")
     b = x + 1.0 - a
     c, d = 1.0 / _TINY, 1.0 / b
     value = d
@@ -74,16 +86,34 @@ def upper_gamma(a: float, x: float) -> float:
         c = c if abs(c) > _TINY else _TINY
         value *= d * c
         if abs(d * c - 1.0) < _PRECISION:
-            break
-    return front * value
+            return front * value
+    raise ArithmeticError(f"incomplete gamma of {a} at {x} does not converge")
 
 
 def t_two_sided(t: float, df: float) -> float:
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    """P(|T| > t); for many degrees of freedom by the normal value of equal tail (an expansion in
+    1 / df about sqrt(df * log(1 + t**2 / df)))."""
+    if df < _MANY_T:
+        return incomplete_beta(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
+    a = df - 0.5
+    w = math.sqrt(a * math.log1p(t * t / df))
+    return math.erfc((w + (w**3 + 3 * w) / (48 * a * a)) / math.sqrt(2.0))
 
 
 def f_upper(f: float, df1: float, df2: float) -> float:
-    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f)) if f > 0 else 1.0
+    """P(F > f); for a large `df2` the mean of the chi-square tail over the denominator, by its
+    moments up to the order 1 / df2**2."""
+    if f <= 0:
+        return 1.0
+    if df2 < _MANY_F:
+        return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f), df1 * f / (df2 + df1 * f))
+    a, y = df1 / 2.0, df1 * f / 2.0
+    density = math.exp((a - 1) * math.log(y) - y - math.lgamma(a))
+    r, r1, r2 = (a - 1) / y - 1, -(a - 1) / y**2, 2 * (a - 1) / y**3
+    second, third, fourth = (-density * x for x in (r, r * r + r1, r**3 + 3 * r * r1 + r2))
+    first_order = y**2 * second / df2
+    second_order = (y**3 * third * 8 / 6 + y**4 * fourth / 2) / df2**2
+    return upper_gamma(a, y) + first_order + second_order
 
 
 def chi2_upper(x: float, df: float) -> float:

@@ -102,6 +102,8 @@ def order_statistics(
             else:
                 b.low, b.below, b.size = high, b.below + before_high, b.size - before_high
 
+    if any(b.size > bracket_rows for b in brackets):
+        raise RuntimeError(f"positions not narrowed to {bracket_rows} rows in {MAX_PASSES} passes")
     spans = list(dict.fromkeys((b.low, b.high, b.below) for b in brackets))
     members = [
         F.when(inside(_Bracket(0, low, high, below, 0)), F.lit(i))

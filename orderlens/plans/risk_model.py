@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import statistics
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -26,8 +25,11 @@ FOLDS = 5
 # driver thresholds.
 FOREST = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5}
 # How the forest is computed: candidate splits per number, and node ids kept per row
-# (checkpointed every ten levels) instead of walking every tree anew.
-FOREST_TUNING = {"maxBins": 128, "cacheNodeIds": True}
+# (checkpointed every ten levels) instead of walking every tree anew.  The memory for node
+# statistics decides which nodes are split together, and so the features drawn for them: it is fixed.
+FOREST_TUNING = {"maxBins": 128, "cacheNodeIds": True, "maxMemoryInMB": 256}
+# Partitions that a model is fitted on.
+FIT_PARTITIONS = 32
 LR_ITERATIONS = 1000
 SCORING_DEFAULTS = {
     "payment_installments": 1.0, "product_volume_cm3": 5000.0, "product_photos_qty": 1.0,
@@ -122,21 +124,6 @@ def logistic(total: int) -> Pipeline:
     )
 
 
-def node_memory_mb(spark: SparkSession) -> int:
-    """Memory per task for node statistics: a fifth of what one core has, within 16 MB to 2 GB.
-
-    Every running task holds that much; more memory means fewer passes over the rows.
-    """
-    conf, context = spark.sparkContext.getConf(), spark.sparkContext
-    local = context.master.startswith("local")
-    size = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower()
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024**2}
-    number, unit = re.fullmatch(r"([0-9]+)([kmgt]?)b?", size).groups()
-    megabytes = int(number) * (units[unit] if unit else 1)
-    cores = context.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    return max(16, min(2048, int(megabytes / cores / 5)))
-
-
 def forest(**settings) -> Pipeline:
     return Pipeline(
         stages=[
@@ -149,24 +136,25 @@ def forest(**settings) -> Pipeline:
     )
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Use every core: few small files would leave most of them idle for hundreds of passes."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+def spread(rows: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """A layout that depends on the rows alone: bagging follows partitions and their order."""
+    return rows.repartition(partitions, *KEYS).sortWithinPartitions(*KEYS)
 
 
-def fit(name: str, train: DataFrame, **settings) -> PipelineModel:
+def fit(name: str, train: DataFrame, partitions: int = FIT_PARTITIONS, **settings) -> PipelineModel:
     """Fit one model to rows of the design (key, label, features).
 
+    Rows are laid out in `partitions` by their key, so that the model does not depend on the machine
+    or on how the rows were stored; raise it with the number of rows.
+
     The model is written and read back.  A freshly fitted one holds on to its training summary
     and through it to the session, which cannot be sent to executors once the session has been
     used to observe row counts.
     """
     path = new_path(train.sparkSession, "model")  # also names the folder of checkpoints
     rows, total = weighted(train)
-    memory = node_memory_mb(train.sparkSession)
-    pipeline = logistic(total) if name == LR else forest(maxMemoryInMB=memory, **settings)
-    pipeline.fit(spread(rows)).write().save(path)
+    pipeline = logistic(total) if name == LR else forest(**settings)
+    pipeline.fit(spread(rows, partitions)).write().save(path)
     return PipelineModel.load(path)
 
 
@@ -402,7 +390,8 @@ def score_orders(model: PipelineModel, orders: DataFrame) -> DataFrame:
     """Probability of lateness in percent for order attributes.
 
     Attributes that a caller does not know take the defaults; levels the model has not seen,
-    and the two categorical inputs that are not asked for, are encoded as all zeros.
+    and the two categorical inputs that are not asked for, are encoded as all zeros.  A row that
+    lacks any other attribute has no probability.  Each row names its drivers.
     """
     known = levels(model)
 
@@ -443,9 +432,12 @@ def score_orders(model: PipelineModel, orders: DataFrame) -> DataFrame:
             }
         )
     )
-    late = vector_to_array("probability")[1] * F.lit(100.0)
+    # The vector of inputs takes no nulls.
+    complete = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in NUMERIC])
+    filled = inputs.withColumns({"complete": complete, "drivers": risk_drivers()}).na.fill(0.0, NUMERIC)
+    late = F.when(F.col("complete"), vector_to_array("probability")[1] * F.lit(100.0))
     kept = [c for c in orders.columns if c in KEYS]
-    return model.transform(inputs).select(*kept, late.alias("prob_late_pct"))
+    return model.transform(filled).select(*kept, late.alias("prob_late_pct"), "drivers")
 
 
 def risk_tier(percent: Column) -> Column:

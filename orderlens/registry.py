@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.plans import cleaning, delays, explore, hypothesis, metrics, rfm, risk, star as plans
+from orderlens.plans import cleaning, delays, explore, hypothesis, metrics, rfm, risk, round_trips, star as plans
 from orderlens.plans import extracts as dash
 from orderlens.plans import risk_model as models
-from orderlens.session import SessionStar, session_star
+from orderlens.session import SessionStar
 from orderlens.sources.raw_csv import load_profile
 
 
@@ -35,6 +35,9 @@ FROM_RAW: dict[str, Callable[[SessionStar], DataFrame]] = {
     "dim_products": lambda s: plans.build_dim_products(s.cleaned),
     "dim_sellers": lambda s: plans.build_dim_sellers(s.raw, s.cleaned),
     "dim_date": lambda s: plans.iso_text(plans.build_dim_date(s.cleaned)),
+    "csv_round_trip": lambda s: round_trips.raw_csv(s.raw, s.fact),
+    "star_round_trip": lambda s: round_trips.stored_star(s.raw),
+    "extract_round_trip": round_trips.exported_extracts,
 }
 
 # Reports over the (written) tables of any star.
@@ -142,8 +145,10 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def queries() -> dict[str, Query]:
+def queries(load: Callable[[SparkSession, str], SessionStar]) -> dict[str, Query]:
+    """Every query as a function of a session and a directory, whose star `load` gives."""
+
     def bind(function) -> Query:
-        return lambda spark, directory: function(session_star(spark, directory))
+        return lambda spark, directory: function(load(spark, directory))
 
     return {name: bind(function) for name, function in {**FROM_RAW, **REPORTS}.items()}

@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.plans import star as plans
-from orderlens.sources.derived import derive_raw
 from orderlens.sources.raw_csv import RawTables
 from orderlens.sources.scratch import materialize
 
@@ -74,13 +73,3 @@ def build_session(master: str | None = None, name: str = "orderlens", **settings
     for key, value in {**defaults, **given}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-_stars: dict[tuple[str, str], SessionStar] = {}
-
-
-def session_star(spark: SparkSession, directory: str) -> SessionStar:
-    key = (spark.sparkContext.applicationId, directory)
-    if key not in _stars:
-        _stars[key] = SessionStar(derive_raw(spark, directory))
-    return _stars[key]

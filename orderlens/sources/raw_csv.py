@@ -88,7 +88,11 @@ class RawTables:
 
 
 def _read(spark: SparkSession, path: str, declared: str, multi_line: bool) -> DataFrame:
-    """Types are applied by column name: the header line decides the position of each."""
+    """Types are applied by column name: the header line decides the position of each.
+
+    Every file of a folder must have the same header; one that differs ends the job with an error
+    that names it, since its values would be read into wrong columns.
+    """
     reader = spark.read.option("header", True).option("escape", '"')
     header = reader.csv(path).columns
     if not declared:
@@ -100,7 +104,7 @@ def _read(spark: SparkSession, path: str, declared: str, multi_line: bool) -> Da
     schema = T.StructType(
         [T.StructField(c, _TYPES[wanted.get(c, "string")]) for c in header]
     )
-    df = reader.schema(schema).option("multiLine", multi_line).csv(path)
+    df = reader.schema(schema).option("multiLine", multi_line).option("enforceSchema", False).csv(path)
 
     def clean(name: str):
         c = F.col(name)

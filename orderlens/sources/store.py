@@ -57,7 +57,8 @@ def read_star(spark: SparkSession, directory: str) -> Star:
     fact, customers, products, sellers, dates = (
         spark.read.parquet(f"{directory}/{name}") for name in STAR_TABLES
     )
-    return Star(fact, customers, products, sellers, dates)
+    # The month that lays out the stored fact is no column of the star.
+    return Star(fact.drop("year_month"), customers, products, sellers, dates)
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:

@@ -6,8 +6,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from oracle.derived import session_star
 from orderlens.plans.star import FACT_COLUMNS, Star, calendar_between
-from orderlens.session import build_session, session_star
+from orderlens.session import build_session
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -96,3 +96,25 @@ def test_p_columns_pass_nulls(spark):
     df = spark.createDataFrame([(2.228, 10.0), (None, 10.0)], "t double, df double")
     p = [r[0] for r in df.select(pvalues.p_t(F.col("t"), F.col("df"))).collect()]
     assert p[0] == pytest.approx(0.05, rel=2e-3) and p[1] is None
+
+
+@pytest.mark.parametrize("df", [1e5, 1e7, 1e9, 1e13])
+def test_tails_at_many_degrees_of_freedom(df):
+    # Both ways to compute them meet, and the limits are reached.
+    near = dict(rel=1e-8)
+    edge = df * (1 - 1e-9)
+    for t in (0.5, 2.0, 6.0, 12.0):
+        assert pvalues.t_two_sided(t, df) == pytest.approx(pvalues.t_two_sided(t, edge), **near)
+    for f in (0.8, 1.5, 3.0, 9.0):
+        assert pvalues.f_upper(f, 9, df) == pytest.approx(pvalues.f_upper(f, 9, edge), **near)
+    if df == 1e13:
+        assert pvalues.t_two_sided(2.0, df) == pytest.approx(0.04550026389635842, **near)
+        assert pvalues.f_upper(1.5, 9, df) == pytest.approx(pvalues.chi2_upper(13.5, 9), **near)
+
+
+def test_a_series_that_does_not_converge_is_an_error(monkeypatch):
+    monkeypatch.setattr(pvalues, "_STEPS", 3)
+    with pytest.raises(ArithmeticError):
+        pvalues.t_two_sided(2.0, 1000)
+    with pytest.raises(ArithmeticError):
+        pvalues.chi2_upper(500.0, 400)

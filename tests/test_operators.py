@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orderlens.operators import order_stats
 from orderlens.operators.order_stats import (
     exact_median,
     order_statistics,
@@ -111,3 +112,10 @@ def test_numbering_of_a_hot_key(spark):
     theirs = df.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("a", "b")))
     assert sorted(rows(ours)) == sorted(rows(theirs))
     assert ours.schema["n"].dataType == theirs.schema["n"].dataType
+
+
+def test_positions_that_cannot_be_narrowed_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "MAX_PASSES", 0)
+    df = spark.range(100)
+    with pytest.raises(RuntimeError, match="not narrowed"):
+        order_stats.order_statistics(df, ["id"], [50], 100, bracket_rows=10)

@@ -93,8 +93,25 @@ def test_scoring_accepts_unknown_levels_and_defaults(spark, forest):
     )
     order = ("a", 1, 150.0, 20.0, 1500.0, 25.0, 11, 0.05, 100, 0, 0.1)
     df = spark.createDataFrame([(*order, "no such", "ZZ"), (*order, None, None)], schema)
-    scores = [r["prob_late_pct"] for r in models.score_orders(forest, df).collect()]
+    found = models.score_orders(forest, df).collect()
+    scores = [r["prob_late_pct"] for r in found]
     assert scores[0] == scores[1] and 0 <= scores[0] <= 100
+    assert found[0]["drivers"] == ["Seasonality"]
+
+
+def test_a_row_without_an_attribute_has_no_score(small_star, forest):
+    orders = features.attributes(risk.ml_features(small_star)).limit(4)
+    gap = orders.withColumn("product_weight_g", F.when(F.col("order_item_id") < 0, 1.0))
+    assert [r["prob_late_pct"] for r in models.score_orders(forest, gap).collect()] == [None] * 4
+
+
+def test_the_forest_does_not_depend_on_the_layout(small_star):
+    train, test = risk.train_rows(small_star), risk.test_rows(small_star)
+    found = []
+    for n in (2, 7, 16):
+        fitted = models.fit(models.RF, train.repartition(n), **TREES)
+        found.append(sorted(rows(models.scored(fitted, test, models.RF))))
+    assert found[0] == found[1] == found[2]
 
 
 def test_importances_and_coefficients(spark, small_star, forest):

@@ -4,7 +4,7 @@ from pyspark.errors import AnalysisException
 
 from orderlens.plans import cleaning
 from orderlens.plans import extracts as dash
-from orderlens.plans.star import build_star, check_keys
+from orderlens.plans.star import FACT_COLUMNS, build_star, check_keys
 from orderlens.sources import raw_csv, store
 from orderlens.sources.scratch import materialize, shared_root
 
@@ -60,6 +60,16 @@ def test_missing_column_is_named(spark, raw_dir):
         raw_csv.read_raw(spark, str(raw_dir), prefix="shop_")
 
 
+def test_files_with_other_column_orders_fail(spark, raw_dir):
+    folder = raw_dir / "shop_sellers_dataset.csv"
+    folder.unlink()
+    folder.mkdir()
+    (folder / "a.csv").write_text("seller_id,seller_city,seller_state\ns1,Port,AA\n")
+    (folder / "b.csv").write_text("seller_id,seller_state,seller_city\ns2,BB,Hill\n")
+    with pytest.raises(Exception, match="header"):
+        raw_csv.read_raw(spark, str(raw_dir), prefix="shop_").sellers.collect()
+
+
 def test_csv_types_quotes_and_missing_tokens(raw):
     assert raw.reviews.count() == 3
     messages = {r["review_id"]: r["review_comment_message"] for r in raw.reviews.collect()}
@@ -176,6 +186,12 @@ def test_store_round_trip(spark, raw, tmp_path, by_month):
     assert store.read_star(spark, str(tmp_path / "store")).fact.count() == 4
 
 
+def test_stored_star_exports_its_own_columns(spark, raw, tmp_path):
+    store.write_star(build_star(raw), f"{tmp_path}/store")
+    store.export_star(store.read_star(spark, f"{tmp_path}/store"), f"{tmp_path}/csv")
+    assert spark.read.csv(f"{tmp_path}/csv/fact_orders", header=True).columns == list(FACT_COLUMNS)
+
+
 def test_exports(spark, raw, tmp_path):
     star = build_star(raw)
     store.export_star(star, str(tmp_path / "csv"))
