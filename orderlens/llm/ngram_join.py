@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.llm import bittable
 from orderlens.llm import chartext as ct
 from orderlens.llm.bpe import small_batches, text_or_empty
 from orderlens.llm.components import components
@@ -44,7 +45,8 @@ MINHASHES = 3
 OCCURRENCES = 4  # T: common rare shingles that make a candidate
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 LIST_BLOCK = 1_000
-TEXT_BLOCK = 64  # nodes of a block when candidates are compared block by block
+CROSSING_BITS = 24  # of the table that tells shingles with more than one component from others
+TEXT_BLOCK = 256  # nodes of a block when candidates are compared block by block
 
 
 class Bound(NamedTuple):
@@ -286,7 +288,15 @@ def _candidates(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: i
         .select("shingle", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
     )
     crossing = materialize(crossing, "crossing")
-    kept = materialize(posted.join(crossing, "shingle"), "lists")
+    flags = docs.sparkSession.sparkContext.broadcast(bittable.build(crossing, "shingle", CROSSING_BITS))
+
+    def likely(batches):
+        for batch in batches:
+            shingle = batch.column(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(bittable.contains(flags.value, shingle, CROSSING_BITS)))
+
+    # Most postings go before anything is shuffled; the join makes it exact.
+    kept = materialize(posted.mapInArrow(likely, posted.schema).join(crossing, "shingle"), "lists")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     lists = kept.groupBy("shingle", block.alias("block")).agg(
         F.array_sort(F.collect_set(F.struct("node", "root", "n"))).alias("members")
