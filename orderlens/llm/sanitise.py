@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from orderlens.llm import bittable
 from orderlens.llm import chartext as ct
 from orderlens.llm.bpe import LETTER, small_batches, text_or_empty
 from orderlens.llm.textstats import Texts
@@ -171,34 +172,16 @@ def _contexts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _bit_table(terms: DataFrame) -> np.ndarray:
-    """Flags by the upper bits of the terms' hashes; its size is fixed, whatever their number."""
-    place = F.shiftrightunsigned("hash", 64 - BITS)
-    rows = (
-        terms.groupBy(F.shiftright(place, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits"))
-        .collect()
-    )
-    table = np.zeros((1 << BITS) // 64, np.uint64)
-    for r in rows:
-        table[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return np.unpackbits(table.astype("<u8").view(np.uint8), bitorder="little").astype(bool)
-
-
 def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """`hash, times` of at least all `terms` over all texts."""
-    flags = docs.sparkSession.sparkContext.broadcast(_bit_table(terms))
+    flags = docs.sparkSession.sparkContext.broadcast(bittable.build(terms, "hash", BITS))
 
     def work(batches):
         found = np.zeros(0, np.uint64)
         for batch in batches:
             for _, texts in small_batches(batch):
                 hashes = words_of(texts).hash
-                found = np.concatenate([found, hashes[flags.value[_bit(hashes)]]])
+                found = np.concatenate([found, hashes[bittable.contains(flags.value, hashes, BITS)]])
                 if len(found) > 1_000_000:
                     yield counted(found)
                     found = found[:0]
@@ -265,7 +248,7 @@ def found(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     result; other columns are not read.
     """
     terms = materialize(disclosing_terms(df, text), "disclosing_terms")
-    flags = df.sparkSession.sparkContext.broadcast(_bit_table(terms))
+    flags = df.sparkSession.sparkContext.broadcast(bittable.build(terms, "hash", BITS))
     schema = df.select(*keep).withColumn("fixed", F.lit(None).cast(SPANS)).withColumn(
         "maybe", F.lit(None).cast("array<struct<kind:int,start:int,end:int,hash:bigint>>")
     ).schema
@@ -281,7 +264,7 @@ def found(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 maybe: list[list[dict]] = [[] for _ in texts]
                 if held and flags.value.any():
                     words = words_of([texts[i] for i in held])
-                    hit = np.flatnonzero(flags.value[_bit(words.hash)])
+                    hit = np.flatnonzero(bittable.contains(flags.value, words.hash, BITS))
                     for w in hit.tolist():
                         i = held[words.owner[w]]
                         a, b = int(words.start[w]), int(words.end[w])
