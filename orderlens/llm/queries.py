@@ -122,4 +122,38 @@ SQL: dict[str, str] = {
         FROM scores
         QUALIFY rank <= 20
     """,
+    "op6_ngram_join": r"""
+        WITH RECURSIVE tokens AS (
+            SELECT doc_id, list_filter(
+                regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[\x20\x09-\x0D]+'
+                ), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                END AS shingles
+            FROM tokens
+        ), elements AS (
+            SELECT doc_id, unnest(shingles) AS shingle FROM sets
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+            FROM elements x JOIN elements y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared
+            JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+            WHERE 100 * n >= 85 * (len(x.shingles) + len(y.shingles) - n)
+        ), steps AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT steps.b, reached.root FROM reached JOIN steps ON steps.a = reached.doc_id
+        )
+        SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, min(root) AS component_id
+        FROM sets JOIN reached USING (doc_id) GROUP BY ALL
+    """,
 }
