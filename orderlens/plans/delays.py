@@ -93,7 +93,7 @@ def delay_by_category(star, min_orders: int = 50, rows: int = 15) -> DataFrame:
             late_pct().alias("late_pct"),
             mean_review().alias("avg_review"),
             half_up(exact_mean("product_weight_g"), 0).alias("avg_weight_g"),
-            half_up(exact_mean("product_volume_cm3"), 0).alias("avg_volume_cm3"),
+            half_up(F.avg("product_volume_cm3"), 0).alias("avg_volume_cm3"),
         )
         .where(F.col("orders") >= min_orders)
         .orderBy(F.desc("late_pct"), "product_category")

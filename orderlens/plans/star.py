@@ -256,7 +256,8 @@ def iso_text(df: DataFrame) -> DataFrame:
 
 
 def check_keys(star: Star) -> DataFrame:
-    """Duplicate keys per table and fact rows whose foreign key has no dimension row."""
+    """Duplicate keys per table, fact rows whose foreign key has no dimension row, and orders with
+    more than one payment type (reports by type add up orders)."""
     unique = {
         "fact_orders_unique": (star.fact, ["order_id", "order_item_id"]),
         "dim_customers_unique": (star.customers, ["customer_unique_id"]),
@@ -287,4 +288,10 @@ def check_keys(star: Star) -> DataFrame:
                 F.lit(name).alias("check_name"), "violations"
             )
         )
+    types = star.fact.groupBy("order_id").agg(F.min("payment_type").alias("a"), F.max("payment_type").alias("b"))
+    checks.append(
+        types.where("a <> b").agg(F.count("*").alias("violations")).select(
+            F.lit("order_one_payment_type").alias("check_name"), "violations"
+        )
+    )
     return reduce(DataFrame.unionByName, checks)

@@ -136,6 +136,12 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "risk_drivers": risk.driver_rows,
     "lr_metrics": lambda s: risk.metrics(s, models.LR),
     "lr_coefficients": risk.logistic_coefficients,
+    "lr_confusion": lambda s: models.confusion(risk.scores(s, models.LR)),
+    "lr_class_report": lambda s: rounded(models.class_report(risk.scores(s, models.LR))),
+    "lr_roc_points": lambda s: rounded(models.roc_points(risk.scores(s, models.LR))),
+    "rf_confusion": lambda s: models.confusion(risk.scores(s, models.RF)),
+    "rf_class_report": lambda s: rounded(models.class_report(risk.scores(s, models.RF))),
+    "rf_roc_points": lambda s: rounded(models.roc_points(risk.scores(s, models.RF))),
     "rf_metrics": lambda s: risk.metrics(s, models.RF),
     "rf_importance": risk.forest_importances,
     "best_model": risk.best_model,

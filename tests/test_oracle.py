@@ -4,11 +4,17 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from oracle import statements
 from oracle.compare import compare, connect
+from oracle.derived import session_star
+from orderlens import registry
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = registry.queries(session_star), statements()
 # A forest of 200 trees takes minutes locally; test_risk.py trains a small one instead.
-SLOW = {"rf_metrics", "rf_importance", "best_model", "score_orders", "cv_auc", "cv_auc_forest"}
+SLOW = {
+    "rf_metrics", "rf_importance", "rf_confusion", "rf_class_report", "rf_roc_points", "best_model", "score_orders",
+    "cv_auc", "cv_auc_forest",
+}
 
 
 @pytest.fixture(scope="module")
@@ -29,5 +35,9 @@ def test_query(spark, duck, name):
         assert df.count() > 0
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(STATEMENTS) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

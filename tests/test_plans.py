@@ -6,14 +6,15 @@ import io
 import pytest
 from conftest import SMALL
 
-import __spark_entry__ as entry
+from oracle.derived import session_star
 from orderlens import __main__ as cli
+from orderlens import registry
 
-QUERIES = entry.queries()
+QUERIES = registry.queries(session_star)
 # These fit a model when they are called.
 FITTING = {
     "rf_metrics", "rf_importance", "best_model", "score_orders", "cv_auc", "cv_auc_forest",
-    "lr_metrics", "lr_coefficients",
+    "rf_confusion", "rf_class_report", "rf_roc_points", "lr_metrics", "lr_coefficients",
 }
 
 
