@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlens.llm import chartext as ct
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 ROW_WIDTH = 128
 # Cells of the symbol grid advanced together.
 GRID_CELLS = 250_000
@@ -510,7 +510,7 @@ def text_or_empty(column: str) -> Column:
 
 
 def small_batches(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
-    """The first column and the texts of the second, about a million characters at a time."""
+    """The first column and the texts of the second, some 300,000 characters at a time."""
     sizes = pc.binary_length(batch.column(1)).to_pylist()
     for start, end in ct.groups(sizes):
         part = batch.slice(start, end - start)

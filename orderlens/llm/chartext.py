@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 # Characters handled at once; a longer text is taken in pieces where the caller can cut it.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 300_000
 
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = (
@@ -72,7 +72,7 @@ def slice_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     Running sums of scrambled characters times powers of an odd base give any slice's polynomial
     with two look-ups; the final scramble spreads it over all bits.
     """
-    size = 1 << max(21, int(len(codes)).bit_length())
+    size = 1 << max(19, int(len(codes)).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_letters()[codes] * up[: len(codes)], out=sums[1:])

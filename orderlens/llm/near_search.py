@@ -169,7 +169,8 @@ def nearest(
     short = materialize(short, "near_short")
     n_short = short.count()
     if n_short:
-        found = materialize(_ranked(found.drop("rank").unionByName(_all_rows(short, rows, n_short, rows.count(), k)), k), "near_all")
+        exact = _all_rows(short, rows, n_short, rows.count(), k)
+        found = materialize(_ranked(found.drop("rank").unionByName(exact), k), "near_all")
     return found.select("query_id", "rank", "vec_id", "score")
 
 

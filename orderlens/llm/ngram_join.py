@@ -182,7 +182,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, bound: Bound) -> Data
             both = [pa.RecordBatch.from_arrays([batch.column(0), batch.column(k)], names=["id", "text"]) for k in (2, 3)]
             # The same rows are cut alike by the longer of their two texts.
             sizes = np.maximum(*(np.asarray(pc.binary_length(b.column(1)), np.int64) for b in both)).tolist()
-            for start, end in ct.groups(sizes, ct.CHUNK_CHARS // 2):
+            for start, end in ct.groups(sizes):
                 part = batch.slice(start, end - start)
                 left, right = (shingle_sets(part.column(k).to_pylist(), words) for k in (2, 3))
                 keep = [bound.holds(overlap(x, y), len(x), len(y)) for x, y in zip(left, right, strict=True)]
@@ -403,7 +403,7 @@ def _linked_in_blocks(candidates: DataFrame, docs: DataFrame, words: int, bound:
         for batch in batches:
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for key, node, others, body in zip(keys, *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                if size > ct.CHUNK_CHARS and waiting[-1][0] != key:
+                if size > 3 * ct.CHUNK_CHARS and waiting[-1][0] != key:
                     yield flush(len(waiting))
                     size = 0
                 waiting.append((key, node, others, body))

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,13 +234,15 @@ def scored(
     if model.constant is not None:
         return docs.select(*columns, F.lit(float(model.constant)).alias(score))
     row = docs.select(*columns)
-    schema, n = row.schema.add(score, "double"), len(columns)
+    schema, n = docs.select(*columns).schema.add(score, "double"), len(columns)
+    at = columns.index(text) if text in columns else n  # a kept text is sent once
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         machine = Model(*broadcast.value)
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(n)], names=["row", "text"])
+            sent = pc.fill_null(batch.column(at), "")
+            pair = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), sent], names=["row", "text"])
             for rows, texts in small_batches(pair):
                 t = Texts(texts)
                 raw = raw_scores(machine, t.n, *word_columns(t), statistic_columns(statistics(t), machine.cuts))
@@ -247,4 +250,5 @@ def scored(
                 values = [*(part.column(i) for i in range(n)), pa.array(_logistic(raw))]
                 yield pa.RecordBatch.from_arrays(values, names=schema.names)
 
-    return docs.select(*columns, text_or_empty(text).alias("_text")).mapInArrow(work, schema)
+    sent = row if text in columns else docs.select(*columns, text_or_empty(text).alias("_text"))
+    return sent.mapInArrow(work, schema)

@@ -280,6 +280,7 @@ def found(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     read = df.select(*keep, text_or_empty(text).alias("_text")).mapInArrow(work, schema)
     read = materialize(read.withColumn("_row", F.monotonically_increasing_id()), "entity_rows")
+    term = F.lit(KINDS.index("term")).alias("kind")
     sure = (
         read.where(F.size("maybe") > 0)
         .select("_row", F.explode("maybe").alias("m"))
@@ -288,7 +289,7 @@ def found(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         .groupBy("_row", "start", "end")  # a term near several kinds is one span, with the largest ratio
         .agg(F.max("ratio").alias("ratio"))
         .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", "ratio"))).alias("sure"))
+        .agg(F.array_sort(F.collect_list(F.struct(term, "start", "end", "ratio"))).alias("sure"))
     )
     sure = materialize(sure, "term_spans")
     spans = F.concat("fixed", F.coalesce("sure", F.array().cast(SPANS)))
@@ -320,8 +321,7 @@ def sanitised(df: DataFrame, text: str = "text") -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.char_length(text)))
-    ordered = F.array_sort(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["ratio"].alias("ratio")))
-    )
+    by_start = lambda s: F.struct(*(s[name].alias(name) for name in ("start", "kind", "end", "ratio")))
+    ordered = F.array_sort(F.transform("spans", by_start))
     clean = F.when(F.size("spans") > 0, F.aggregate(ordered, begin, step, rest)).otherwise(F.col(text))
     return spots.withColumn(text, clean).select(*df.columns)

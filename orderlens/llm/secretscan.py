@@ -256,7 +256,10 @@ def scanned(df: DataFrame, text: str = "text", level: float = LEVEL) -> DataFram
         return F.transform(
             spans,
             lambda s: F.struct(
-                s["start"].alias("start"), F.lit(KINDS.index(name)).alias("rank"), s["end"].alias("end"), F.lit(name).alias("kind")
+                s["start"].alias("start"),
+                F.lit(KINDS.index(name)).alias("rank"),
+                s["end"].alias("end"),
+                F.lit(name).alias("kind"),
             ),
         )
 

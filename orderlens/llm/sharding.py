@@ -32,11 +32,9 @@ def _numbers(df: DataFrame, dimensions: Sequence[str]) -> list[Column]:
     Strings become the seven bytes after the prefix that all values share.
     """
     strings = [d for d in dimensions if isinstance(df.schema[d].dataType, T.StringType)]
-    ends = (
-        df.agg(*(f(F.col(d)).alias(f"{n}{i}") for i, d in enumerate(strings) for n, f in (("low", F.min), ("high", F.max)))).first()
-        if strings
-        else None
-    )
+    both = (("low", F.min), ("high", F.max))
+    wanted = [f(F.col(d)).alias(f"{n}{i}") for i, d in enumerate(strings) for n, f in both]
+    ends = df.agg(*wanted).first() if wanted else None
     made = []
     for d in dimensions:
         if d not in strings:

@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -36,7 +37,10 @@ INSULTS = (
     "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown "
     "arschloch dummkopf abschaum connard imbécile ordure estúpido imbécil basura"
 ).split()
-SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre ti usted ustedes vosotros".split()
+SECOND_PERSON = (
+    "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre ti usted ustedes "
+    "vosotros"
+).split()
 
 PREFIXES = (4, 5, 6)
 NEAR = 5
@@ -161,8 +165,13 @@ def features(texts: Texts, look_up: _Lookup, second: np.ndarray, fold: np.ndarra
     )
 
 
-def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` columns (the first one alone may be any type) and the features of each text."""
+def with_features(
+    df: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text", inside: str | None = None
+) -> DataFrame:
+    """`keep` columns and the features of each text.
+
+    With `inside`, the text is a field of that kept column, so that it is sent to the task once.
+    """
     schema = df.select(*keep).schema
     for name in FEATURES:
         schema = schema.add(name, "double")
@@ -173,16 +182,19 @@ def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str], text: str =
         second = np.array([word_hash(w) for w in SECOND_PERSON], np.uint64)
         fold = _fold_table()
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays(
-                [pa.array(range(batch.num_rows)), batch.column(n)], names=["row", "text"]
-            )
+            if inside:
+                texts = pc.fill_null(batch.column(batch.schema.get_field_index(inside)).field(text), "")
+            else:
+                texts = batch.column(n)
+            pair = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), texts], names=["row", "text"])
             for rows, texts in small_batches(pair):
                 values = features(Texts(texts), look_up, second, fold)
                 part = batch.slice(rows[0].as_py(), len(rows))
                 columns = [part.column(i) for i in range(n)] + [pa.array(values[:, k]) for k in range(len(FEATURES))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*keep, text_or_empty(text)).mapInArrow(work, schema)
+    sent = df.select(*keep) if inside else df.select(*keep, text_or_empty(text))
+    return sent.mapInArrow(work, schema)
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
@@ -298,7 +310,10 @@ def scored(
     if model.trees is None:
         return docs.select(*columns, F.lit(float(model.prior)).alias(score))
     row = F.struct(*columns).alias("_row")  # kept columns may be called like features
-    table = with_features(docs.select(row, F.col(text).alias("_text")), model.lexicon, ["_row"], "_text")
+    if text in columns:
+        table = with_features(docs.select(row), model.lexicon, ["_row"], text, inside="_row")
+    else:
+        table = with_features(docs.select(row, F.col(text).alias("_text")), model.lexicon, ["_row"], "_text")
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
     table = model.trees.transform(table).select("_row", _probability().alias("raw"))
     if model.calibration is not None:
