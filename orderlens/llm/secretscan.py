@@ -7,9 +7,10 @@ chi-squared over the alphabet and over its classes, Wald-Wolfowitz runs about th
 and serial correlation; four times the smallest p value is the token's.
 
 All tokens of the corpus are judged together by a weighted Benjamini-Hochberg rule: a token's weight
-is its length over the mean length, since longer tokens can be told from random ones at smaller
-levels.  Tokens rejected are structured (the share of real keys among them is what the level
-controls); the others are reported.  P values count on a fixed grid, so that the rule needs only a
+is the mean length over its length, at most one, since longer tokens can be told from random ones at
+smaller levels.  So no length is rejected at more than the level, and long keys at less.  Tokens
+rejected are structured (the share of real keys among them is what the level controls); the others
+are reported.  P values count on a fixed grid, so that the rule needs only a
 table of bounded size.  Everything is built from DataFrame functions.
 """
 
@@ -227,7 +228,8 @@ def thresholds(df: DataFrame, text: str = "text", level: float = LEVEL) -> dict[
     length = {r["size"]: 2 ** (r["size"] / 2) for r in counts}
     total = sum(r["count"] for r in counts)
     mean = sum(length[r["size"]] * r["count"] for r in counts) / total
-    weighted = sorted((10 ** (-r["step"] / GRID) * mean / length[r["size"]], r["count"]) for r in counts)
+    weight = {size: min(1.0, mean / n) for size, n in length.items()}
+    weighted = sorted((10 ** (-r["step"] / GRID) / weight[r["size"]], r["count"]) for r in counts)
     cut, seen = 0.0, 0
     for p, n in weighted:
         seen += n
@@ -235,8 +237,8 @@ def thresholds(df: DataFrame, text: str = "text", level: float = LEVEL) -> dict[
             cut = p
     # The smallest step whose weighted p value is within the cut; none if nothing is rejected.
     return {
-        size: math.ceil(-GRID * math.log10(cut * n / mean) - 1e-9) if cut > 0 else GRID_END + 1
-        for size, n in length.items()
+        size: math.ceil(-GRID * math.log10(cut * w) - 1e-9) if cut > 0 else GRID_END + 1
+        for size, w in weight.items()
     }
 
 

@@ -62,6 +62,17 @@ def test_rule_matches_benjamini_hochberg(docs):  # noqa: F811
     assert sum(s >= limit for s in steps) == sum(x <= cut for x in p) == 5
 
 
+def test_long_keys_among_clean_tokens(docs):  # noqa: F811
+    fuzz = random.Random(11)
+    words = "Get Set Make Read User Name File Report Order Value Count Line Data Base Format Cache Index Query".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(fuzz.choice(letters) for _ in range(n)) for n in (128, 256, 512, 1024, 2000) for _ in range(4)]
+    clean = [" ".join("".join(fuzz.choice(words) for _ in range(6)) for _ in range(100)) for _ in range(20)]
+    found = {r["doc_id"]: spans(r) for r in scan.scanned(docs(*enumerate(keys + clean))).collect()}
+    whole = [(0, 3, len(k), "random") in found[i] for i, k in enumerate(keys)]
+    assert sum(whole) >= 19 and all(any(whole[i : i + 4]) for i in range(0, 20, 4))
+
+
 def test_upper_tail(spark):
     row = spark.range(1).select(*(scan.upper_tail(F.lit(z)).alias(str(z)) for z in (-1.0, 0.0, 1.0, 3.0, 6.0))).first()
     for got, want in zip(row, (0.8413447461, 0.5, 0.1586552539, 0.001349898032, 9.865876450e-10)):
