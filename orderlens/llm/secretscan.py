@@ -34,6 +34,7 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+RUNS = (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9]{20,}={0,2}")
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 # Encodings: name, pattern, and the classes that make up the alphabet; the first that fits counts.
@@ -197,16 +198,39 @@ def _with(classes: tuple[str, ...]) -> Callable[[Column], Column]:
     return lambda index: _tests(index, classes)
 
 
+def _pieces(token: Column) -> Column:
+    """Spans to test in a token: the whole where an encoding fits, otherwise its long runs of each alphabet."""
+    whole = F.struct(F.lit(0).alias("start"), F.char_length(token).alias("end"), token.alias("value"))
+    fits = reduce(Column.__or__, (token.rlike(pattern) for _, pattern, _ in ENCODINGS))
+    runs = F.array_distinct(F.concat(*(matches(token, pattern) for pattern in RUNS)))
+    return F.when(fits, F.array(whole)).otherwise(runs)
+
+
 def tokens(text: Column) -> Column:
-    """Long tokens with an encoding: start, end, grid step of the p value, step of the length."""
+    """Long tokens with an encoding: start, end, grid step of the p value, step of the length.
+
+    A token that no encoding fits (a key behind a path, a name or a line of dashes) is cut into its
+    runs of the two base64 alphabets and of letters and digits; those of twenty or more characters
+    with an encoding count as tokens, and may overlap.
+    """
     kind = "array<struct<start:int,end:int,step:int,size:int>>"
 
     def judged(s: Column) -> Column:
-        step = F.least(F.lit(GRID_END), F.floor(-GRID * F.log10(F.greatest(p_value(s["value"]), F.lit(1e-300))))).cast("int")
+        on_grid = lambda p: F.least(F.lit(GRID_END), F.floor(-GRID * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int")
+        # greatest() and least() skip nulls.
+        step = _let(p_value(s["value"]), lambda p: F.when(p.isNotNull(), on_grid(p)))
         size = F.floor(F.log2((s["end"] - s["start"]).cast("double")) * 2).cast("int")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), step.alias("step"), size.alias("size"))
 
-    found = F.transform(matches(text, TOKEN), judged)
+    def moved(token: Column) -> Column:
+        return F.transform(
+            _pieces(token["value"]),
+            lambda s: F.struct(
+                (token["start"] + s["start"]).alias("start"), (token["start"] + s["end"]).alias("end"), s["value"].alias("value")
+            ),
+        )
+
+    found = F.transform(F.flatten(F.transform(matches(text, TOKEN), moved)), judged)
     return F.filter(found, lambda t: t["step"].isNotNull()).cast(kind)
 
 
@@ -246,7 +270,7 @@ def scanned(df: DataFrame, text: str = "text", level: float = LEVEL) -> DataFram
     """All columns of `df` and `_spans`: kind, start and end (code points) of every secret.
 
     Spans are ordered by start, then kind.  A random token that overlaps a fixed pattern's span is
-    not reported again.  Null and empty texts have no spans; repeated rows are scanned each; an empty
+    not reported again, nor is one within another.  Null and empty texts have no spans; repeated rows are scanned each; an empty
     table gives an empty result; columns of the table named `_spans` are not allowed.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -271,7 +295,9 @@ def scanned(df: DataFrame, text: str = "text", level: float = LEVEL) -> DataFram
         limit = F.create_map(*(x for k, v in limits.items() for x in (F.lit(k), F.lit(v))))
         free = lambda t: ~F.exists("_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
         random = F.filter(tokens(whole), lambda t: (t["step"] < F.element_at(limit, t["size"])) & free(t))
-        df = df.withColumn("_spans", F.concat("_spans", named(random, "random").cast(kind)))
+        inside = lambda t, s: (s["start"] <= t["start"]) & (t["end"] <= s["end"]) & (s["end"] - s["start"] > t["end"] - t["start"])
+        widest = _let(random, lambda found: F.filter(found, lambda t: ~F.exists(found, lambda s: inside(t, s))))
+        df = df.withColumn("_spans", F.concat("_spans", named(widest, "random").cast(kind)))
     return df.withColumn("_spans", F.array_sort("_spans"))
 
 

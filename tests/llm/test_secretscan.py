@@ -73,6 +73,23 @@ def test_long_keys_among_clean_tokens(docs):  # noqa: F811
     assert sum(whole) >= 19 and all(any(whole[i : i + 4]) for i in range(0, 20, 4))
 
 
+def test_tokens_without_an_encoding(docs):  # noqa: F811
+    fuzz = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, more="": "".join(fuzz.choice(letters + more) for _ in range(n))
+    junk = ["-" * 60, "_" * 30, "abcdefghij" * 5, "1" * 40, "usr/lib/some-long/lower_case/path"]
+    plain, long, url = key(40), key(300, "+/") + "+a/A0", key(60, "-_") + "-a_A0"
+    texts = [" ".join(junk), f"srv/the-app/{plain}", f"KEY-----{long}-----END", f"https://x.y/some/{url}"]
+    df = docs(*enumerate(texts))
+    found = {r["doc_id"]: [(t["start"], t["end"]) for t in r["t"]] for r in df.select("doc_id", scan.tokens(F.col("text")).alias("t")).collect()}
+    assert found[0] == [] and scan.thresholds(df.where("doc_id = 0")) == {}
+    reported = {r["doc_id"]: spans(r) for r in scan.scanned(df).collect()}
+    for i, k in ((1, plain), (2, long), (3, url)):
+        at = texts[i].index(k)
+        assert (at, at + len(k)) in found[i]
+        assert any(s[3] == "random" and s[0] <= at and at + len(k) <= s[2] for s in reported[i])
+
+
 def test_upper_tail(spark):
     row = spark.range(1).select(*(scan.upper_tail(F.lit(z)).alias(str(z)) for z in (-1.0, 0.0, 1.0, 3.0, 6.0))).first()
     for got, want in zip(row, (0.8413447461, 0.5, 0.1586552539, 0.001349898032, 9.865876450e-10)):
