@@ -10,7 +10,7 @@ each updated in log n steps, until the root says that no pair is left.
 Pieces repeat, so a task hashes the pieces of a batch, encodes each new one once, and gathers the
 ids of all.  Trees of the same width are advanced together, one array row per piece; pieces longer
 than `ROW_WIDTH` bytes have a tree of their own.  Memory is bounded by the characters of a chunk and
-by `CACHE_PIECES` remembered pieces (then the memory starts anew).
+by `CACHE_PIECES` remembered pieces of `CACHE_LETTERS` characters (then the memory starts anew).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlens.llm import chartext as ct
 
-CACHE_PIECES = 400_000
+CACHE_PIECES, CACHE_LETTERS = 400_000, 8_000_000
 ROW_WIDTH = 128
 # Cells of the symbol grid advanced together.
 GRID_CELLS = 250_000
@@ -357,56 +357,87 @@ PieceEncoder = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray,
 
 
 class Encoder:
-    """Ids of whole texts; remembers the pieces met lately, by hash, in sorted arrays."""
+    """Ids of whole texts; remembers the pieces met lately, by hash, in sorted arrays.
 
-    def __init__(self, encode: PieceEncoder, special: dict[str, int]):
+    A remembered piece is used only where its characters are those of the piece at hand; of pieces
+    that share a hash the first one is remembered and the others are encoded each time.
+    """
+
+    def __init__(self, encode: PieceEncoder, special: dict[str, int], hashes=ct.slice_hashes):
         self.encode = encode
         self.special = special
+        self.hashes = hashes
         self.forget()
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.begins, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool: list[np.ndarray] = []
-        self.pooled = 0
+        self.pool = np.zeros(0, np.uint32)
+        self.letters = np.zeros(0, np.uint32)
+        self.letter_begins, self.letter_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """Encode new pieces; `hashes` ascend and are not known yet."""
-        ids, counts = self.encode(flat, starts, sizes)
+    def _learn(self, hashes: np.ndarray, letters: np.ndarray, sizes: np.ndarray, pieces: tuple) -> None:
+        """Encode new pieces; `hashes` ascend and are not known yet, `letters` are their characters."""
+        ids, counts = self.encode(*pieces)
         at = np.searchsorted(self.keys, hashes)
         self.keys = np.insert(self.keys, at, hashes)
-        self.begins = np.insert(self.begins, at, self.pooled + np.cumsum(counts) - counts)
+        self.begins = np.insert(self.begins, at, len(self.pool) + np.cumsum(counts) - counts)
         self.counts = np.insert(self.counts, at, counts)
-        self.pool = [np.concatenate([*self.pool, ids])]
-        self.pooled += len(ids)
+        self.letter_begins = np.insert(self.letter_begins, at, len(self.letters) + np.cumsum(sizes) - sizes)
+        self.letter_counts = np.insert(self.letter_counts, at, sizes)
+        self.pool = np.concatenate([self.pool, ids])
+        self.letters = np.concatenate([self.letters, letters])
+
+    def _alike(self, codes: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which pieces, that lie one after the other in `codes`, are the remembered ones `at`."""
+        alike = self.letter_counts[at] == sizes
+        same = np.minimum(self.letter_counts[at], sizes)
+        theirs = self.letters[ct.ranges(self.letter_begins[at], same)]
+        if alike.all():
+            different = theirs != codes
+            if not different.any():
+                return alike
+            alike[np.searchsorted(np.cumsum(sizes), np.flatnonzero(different), side="right")] = False
+            return alike
+        starts = np.cumsum(sizes) - sizes
+        different = np.flatnonzero(theirs != codes[ct.ranges(starts, same)])
+        alike[np.searchsorted(np.cumsum(same), different, side="right")] = False
+        return alike
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, none of them empty, one after the other, and counts by text."""
         whole = "".join(texts)
         codes = ct.codes_of(whole)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        firsts = np.cumsum(sizes) - sizes
+        text_sizes = np.array([len(t) for t in texts], np.int64)
+        firsts = np.cumsum(text_sizes) - text_sizes
         starts = np.flatnonzero(piece_starts(codes, firsts))
         ends = np.append(starts[1:], len(codes))
-        hashes = ct.slice_hashes(codes, starts, ends)
+        sizes = ends - starts
+        hashes = self.hashes(codes, starts, ends)
         distinct, first, index = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_PIECES:
+        if len(self.keys) > CACHE_PIECES or len(self.letters) > CACHE_LETTERS:
             self.forget()
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == distinct[inside]
+        bytes_of = None
         if not known.all():
+            bytes_of = _byte_offsets(whole, codes)
             new = first[~known]
-            flat = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
-            offset = np.arange(len(codes) + 1)
-            if len(flat) > len(codes):
-                offset[1:] += np.cumsum((codes > 0x7F).view(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)
-            self._learn(distinct[~known], flat, offset[starts[new]], offset[ends[new]] - offset[starts[new]])
+            self._learn(distinct[~known], codes[ct.ranges(starts[new], sizes[new])], sizes[new], bytes_of(starts[new], ends[new]))
             at = np.searchsorted(self.keys, distinct)
         at = at[index]
-        counts = self.counts[at]
-        ids = self.pool[0][ct.ranges(self.begins[at], counts)]
+        begins, counts, pool = self.begins[at], self.counts[at], self.pool
+        alike = self._alike(codes, sizes, at)
+        if not alike.all():
+            other = np.flatnonzero(~alike)
+            bytes_of = bytes_of or _byte_offsets(whole, codes)
+            ids, own = self.encode(*bytes_of(starts[other], ends[other]))
+            begins[other] = len(pool) + np.cumsum(own) - own
+            counts[other] = own
+            pool = np.concatenate([pool, ids])
+        ids = pool[ct.ranges(begins, counts)]
         return ids, np.add.reduceat(counts, np.searchsorted(starts, firsts))
 
     def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -452,6 +483,15 @@ class Encoder:
             yield from safe_chunks(text)
 
 
+def _byte_offsets(whole: str, codes: np.ndarray):
+    """A function from spans of characters to UTF-8 bytes with the starts and sizes of the spans."""
+    flat = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+    offset = np.arange(len(codes) + 1)
+    if len(flat) > len(codes):
+        offset[1:] += np.cumsum((codes > 0x7F).view(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)
+    return lambda starts, ends: (flat, offset[starts], offset[ends] - offset[starts])
+
+
 @lru_cache(2)
 def segment_tree_encoder(path: str) -> tuple[Encoder, Vocabulary]:
     vocabulary = Vocabulary(path)

@@ -6,8 +6,8 @@ cost per character is a few array passes and never a Python loop.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
@@ -20,7 +20,12 @@ WHITE_SPACE = (
 )
 ASCII_SPACE = (*range(0x09, 0x0E), 0x20)
 
-_BASE = np.uint64(0x9E3779B97F4A7C13)
+# Slices above this length are hashed as a whole.
+LONG_SLICE = 96
+
+_SEED, _FEED = np.uint64(0x9E3779B97F4A7C13), np.uint64(0xD6E8FEB86659FD93)
+# The bits of one, two and three characters.
+_FILLED = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], np.uint64)
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -42,41 +47,55 @@ def groups(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)
+    _scramble(x)
+    return x
+
+
+def _scramble(x: np.ndarray) -> None:
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    return x
-
-
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    """One scrambled 64-bit value for every code point."""
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-@lru_cache(1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    ones = np.ones(size, np.uint64)
-    up, down = ones * _BASE, ones * inverse
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
 
 
 def slice_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each slice of `codes`, equal for equal slices.
 
-    Running sums of scrambled characters times powers of an odd base give any slice's polynomial
-    with two look-ups; the final scramble spreads it over all bits.
+    Slices of up to `LONG_SLICE` characters are folded three characters (63 bits) at a time; each
+    fold scrambles the state and adds the characters once more, so that it cannot be run backwards
+    and differences do not cancel as they do in a sum of powers.  Longer slices are digested whole.
+    Different slices share a hash with the chance of 64 random bits; users that must not err compare
+    the characters as well.
     """
-    size = 1 << max(19, int(len(codes)).bit_length())
-    up, down = _powers(size)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_letters()[codes] * up[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + _SEED)
+    short = np.flatnonzero((sizes <= LONG_SLICE) & (sizes > 0))
+    short = short[np.argsort(-sizes[short].astype(np.int16), kind="stable")]
+    # Every place with the two characters after it.
+    following = np.zeros(len(codes) + 2, np.uint64)
+    following[:-2] = codes
+    left, at, state = sizes[short], starts[short], out[short]
+    while len(at):
+        x = following[at + 2]
+        x <<= np.uint64(21)
+        x |= following[at + 1]
+        x <<= np.uint64(21)
+        x |= following[at]
+        x &= _FILLED[np.minimum(left, 3)]
+        now = state[: len(at)]
+        now ^= x
+        _scramble(now)
+        x *= _FEED
+        now += x
+        # The slices are in falling order of size, so those that go on come first.
+        more = int(np.searchsorted(-left, -3, side="left"))
+        at, left = at[:more] + 3, left[:more] - 3
+    out[short] = state
+    for i in np.flatnonzero(sizes > LONG_SLICE):
+        whole = hashlib.blake2b(codes[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(whole, np.uint64)[0]
+    return out
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from llm_cases import SMALL, docs  # noqa: F401
 from tokenizers import Tokenizer
 
 from orderlens.llm import bpe
+from orderlens.llm import chartext as ct
 from orderlens.llm.queries import VOCABULARY
 
 
@@ -66,3 +67,35 @@ def test_rows(docs, library):
     assert found[:4] == [(0, [], ""), (1, cat, "the cat"), (1, cat, "the cat"), (3, [], "")]
     assert found[4][1] == library.encode(long, add_special_tokens=False).ids and found[4][2] == long
     assert bpe.encoded(docs((1, "x")).where("false"), VOCABULARY).count() == 0
+
+
+def alternating(n):
+    """A word whose letters follow the parity of the bits of their place, and its complement."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [4, 95, 96, 97, 1024, 2048, 4096])
+def test_hashes_of_complements_differ(size):
+    word, other = alternating(size)
+    codes = ct.codes_of(word + other + word)
+    starts = np.array([0, size, 2 * size])
+    first, second, third = ct.slice_hashes(codes, starts, starts + size).tolist()
+    assert first != second and first == third
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_complements_encode_as_the_librarys(docs, library, size):
+    word, other = alternating(size)
+    text = f"{word}\n{other}"
+    row = bpe.encoded(docs((1, text)), VOCABULARY).first()
+    assert row["ids"] == library.encode(text, add_special_tokens=False).ids and row["decoded"] == text
+
+
+def test_colliding_hashes_change_nothing(texts, library):
+    _, vocabulary = bpe.segment_tree_encoder(VOCABULARY)
+    few = lambda codes, starts, ends: (ends - starts).astype(np.uint64) % 3
+    encoder = bpe.Encoder(lambda *pieces: bpe.encode_pieces(*pieces, vocabulary), vocabulary.special, few)
+    for _ in range(2):
+        for text, ids in zip(texts[-40:], encoder.texts(texts[-40:]), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
