@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, exact_search, near_search, ngram_join, packing, quality, sanitise, secretscan, sharding, toxicity
+from orderlens.llm import bpe, exact_search, near_search, ngram_join, packing, quality, sanitise, secretscan, sharding, slack_packing, toxicity
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -84,6 +85,12 @@ def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return _judged(toxicity.scored(docs, model), 0.3)
 
 
+def op12_slack_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return slack_packing.packed(
+        _table(spark, directory, "documents"), WORD_VOCABULARY, projection=slack_packing.CHECKSUM
+    )
+
+
 def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op12_slack_packing": op12_slack_packing,
     "pipeline": corpus_pipeline.run,
 }
 
