@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, exact_search, near_search, ngram_join, packing, quality, sanitise, secretscan, sharding, slack_packing, toxicity
+from orderlens.llm import bpe, exact_search, merkle, near_search, ngram_join, packing, quality, sanitise, secretscan, sharding, slack_packing, toxicity
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +91,16 @@ def op12_slack_packing(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, directory: str) -> DataFrame:
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    climbed = merkle.manifest(
+        _table(spark, directory, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+        {"text": F.coalesce(changed, "text")},
+    )
+    proof = F.sha2("proof", 256).alias("proof_sha256")
+    return climbed.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
@@ -109,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
     "op12_slack_packing": op12_slack_packing,
+    "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -130,6 +141,64 @@ SQL: dict[str, str] = {
         FROM scores
         QUALIFY rank <= 20
     """,
+    # The checksum's bits and both trees, level by level.
+    "op13_merkle": r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+                lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), checksums AS (
+            SELECT DISTINCT doc_id, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS crc
+            FROM documents, crc_table
+        ), written AS (
+            SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') ||
+                   coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') ||
+                   coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+            FROM documents
+        ), digests AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS changed
+            FROM written
+        ), leaves AS (
+            SELECT d.doc_id, d.source, leaf, CASE WHEN crc % 2 = 0 THEN changed ELSE leaf END AS start,
+                   row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id NULLS FIRST, leaf) - 1 AS idx,
+                   dense_rank() OVER (ORDER BY d.source NULLS FIRST) - 1 AS tree, row_number() OVER () AS row
+            FROM digests d LEFT JOIN checksums c ON c.doc_id = d.doc_id
+        ), nodes(tree, level, idx, digest, n) AS (
+            SELECT tree, 0, idx, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3
+            FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3
+        ), uppers(level, idx, digest, n) AS (
+            SELECT 0, tree, digest, count(*) OVER () FROM nodes WHERE n = 1
+            UNION ALL
+            SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3
+            FROM uppers WHERE n > 1 GROUP BY level, idx // 3
+        ), runs AS (
+            SELECT tree, level, idx // 3 AS run, list(digest ORDER BY idx) AS children, any_value(n) AS n
+            FROM nodes WHERE n > 1 GROUP BY ALL
+            UNION ALL
+            SELECT -1, level, idx // 3, list(digest ORDER BY idx), any_value(n) FROM uppers WHERE n > 1 GROUP BY ALL
+        ), climb(row, tree, level, idx, folded, proof) AS (
+            SELECT row, CASE WHEN n = 1 THEN -1 ELSE tree END, 0, CASE WHEN n = 1 THEN tree ELSE leaves.idx END, start, ''
+            FROM leaves JOIN (SELECT tree AS of, n FROM nodes WHERE level = 0 AND idx = 0) ON tree = of
+            UNION ALL
+            SELECT row, CASE WHEN n <= 3 THEN -1 ELSE c.tree END,
+                   CASE WHEN c.tree = -1 OR n > 3 THEN c.level + 1 ELSE 0 END,
+                   CASE WHEN n <= 3 AND c.tree >= 0 THEN c.tree ELSE run END,
+                   sha256(array_to_string(list_concat(children[:idx % 3], [folded], children[idx % 3 + 2:]), '')),
+                   proof || array_to_string(list_concat(children[:idx % 3], children[idx % 3 + 2:]), '')
+            FROM climb c JOIN runs r ON c.tree = r.tree AND c.level = r.level AND c.idx // 3 = r.run
+        )
+        SELECT l.doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256,
+               folded AS folded_root, folded = r.digest AS verified
+        FROM leaves l
+        JOIN (SELECT row, max_by(folded, strlen(proof)) AS folded, max(proof) AS proof, max_by(level, level) AS top
+              FROM (SELECT *, max(strlen(proof)) OVER (PARTITION BY row) AS most FROM climb) WHERE strlen(proof) = most
+              GROUP BY row) c USING (row)
+        JOIN (SELECT tree, digest FROM nodes WHERE n = 1) s USING (tree), (SELECT digest FROM uppers WHERE n = 1) r
+    """,
     "op6_ngram_join": r"""
         WITH RECURSIVE tokens AS (
             SELECT doc_id, list_filter(
