@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, exact_search, merkle, near_search, ngram_join, packing, quality, sanitise, secretscan, sharding, slack_packing, toxicity
+from orderlens.llm import bpe, exact_search, merkle, near_search, ngram_join, packing, quality, sanitise, secretscan, sharding, slack_packing, toxicity, variants
 from orderlens.llm.labelled import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -85,6 +85,10 @@ def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return _judged(toxicity.scored(docs, model), 0.3)
 
 
+def op11_variants(spark: SparkSession, directory: str) -> DataFrame:
+    return variants.grouped(_table(spark, directory, "documents"))
+
+
 def op12_slack_packing(spark: SparkSession, directory: str) -> DataFrame:
     return slack_packing.packed(
         _table(spark, directory, "documents"), WORD_VOCABULARY, projection=slack_packing.CHECKSUM
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_variants": op11_variants,
     "op12_slack_packing": op12_slack_packing,
     "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
@@ -141,6 +146,53 @@ SQL: dict[str, str] = {
         FROM scores
         QUALIFY rank <= 20
     """,
+    "op11_variants": """
+        WITH RECURSIVE crc_table AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+                lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+            FROM documents
+        ), counted AS (
+            SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h
+            FROM runs WHERE length(run) >= 7 GROUP BY ALL
+        ), checksums AS (
+            SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                range(1, length(h), 2),
+                lambda i: (instr('0123456789ABCDEF', h[i]) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 17)::BIGINT)),
+                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS crc
+            FROM counted, crc_table
+        ), words AS (
+            SELECT CASE WHEN crc % 31 = 0 THEN run[:crc % length(run)] || run[crc % length(run) + 2:] ELSE run END AS word,
+                   sum(c)::BIGINT AS n
+            FROM checksums GROUP BY 1 HAVING sum(c) >= 2 AND length(word) >= 7
+        ), places AS (
+            SELECT word, n, unnest(range(length(word))) AS i FROM words
+        ), skips AS (
+            SELECT word, n, i, word[:i] AS head, word[i + 2:] AS tail FROM places
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n FROM skips a JOIN skips b
+            ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+            UNION
+            SELECT s.word, w.word, w.n FROM skips s JOIN words w ON w.word = s.head || s.tail
+            UNION
+            SELECT w.word, s.word, s.n FROM skips s JOIN words w ON w.word = s.head || s.tail
+        ), best AS (
+            SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+            QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1
+        ), forms AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN other END AS form,
+                   CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+            FROM words w LEFT JOIN best b USING (word)
+        ), followed(word, root, step) AS (
+            SELECT word, word, 0 FROM forms
+            UNION ALL
+            SELECT f.word, g.form, step + 1 FROM followed f JOIN forms g ON g.word = f.root WHERE g.form IS NOT NULL
+        )
+        SELECT f.word, form, max_by(root, step) AS root, n, n_near, form_n
+        FROM forms f JOIN followed USING (word) GROUP BY ALL
+    """,
     # The checksum's bits and both trees, level by level.
     "op13_merkle": r"""
         WITH RECURSIVE crc_table AS (

@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op11_variants": "word form root n n_near form_n",
     "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
     "op12_slack_packing": "doc_id piece start length ids_crc32 sequence_id offset",
 }
