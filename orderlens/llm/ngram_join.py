@@ -4,38 +4,41 @@ Two documents link when their shingle sets have Jaccard similarity of at least a
 found without comparing all pairs and without losing any:
 
 1. One pass makes every document's set, a key of the whole set (equal sets are one node from here
-   on), a few min-hashes, and a count sketch of fixed size that tells frequent shingles from rare.
+   on), a few min-hashes, and counts by cell that tell frequent shingles from rare ones.
 2. Nodes with a common min-hash are compared with the smallest node of that group only.  This links
    most groups of near copies with one comparison each; their components are known from here on.
-3. Set elements are ordered from rare to frequent.  Sets of the required overlap share at least T of
-   their first n - ceil(bound * n) + T elements, so only these are posted.  Shingles whose postings
-   all lie in one component cannot add anything; a pre-aggregated minimum and maximum tells them, so
-   a hot group's lists are never gathered.
-4. What is left are inverted lists, cut into blocks.  For each node, DivideSkip finds the nodes of
-   other components that occur on T of its lists: short lists are merged with a heap that skips
+3. Set elements are ordered: rare ones first, then by hash.  Sets of the required overlap share at
+   least T of their first n - ceil(bound * n) + T elements, so only these are posted.  Shingles whose
+   postings all lie in one component cannot add anything; a pre-aggregated minimum and maximum tells
+   them, so a hot group's lists are never gathered.
+4. What is left are inverted lists, cut into blocks of nodes.  A list goes once to each pair of a
+   block of searching nodes and a block of candidates that it touches, and never whole to every node
+   on it; all lists of a candidate meet there.  For each searching node DivideSkip finds the
+   candidates of other components on T of its lists: short lists are merged with a heap that skips
    ahead, long ones are probed by binary search.
-5. Candidates are compared exactly, set against set, in blocks of queries and candidates: a text is
-   sent once to each pair of blocks that needs it, not once for each pair of texts.
+5. Candidates are compared exactly, set against set, in the same blocks: a text is sent once to
+   each pair of blocks that needs it, not once for each pair of texts.
 
-A link is lost only if two different shingles have the same 64-bit hash.
+The order of elements decides how much work there is, never what is found: the tables that speed
+it up are bounded, and beyond their size joins do the same.  Sets hold 64-bit hashes of shingles; two
+texts link wrongly, or not, only where hashes of different shingles agree by chance.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm import bittable
+from orderlens.llm import cells
 from orderlens.llm import chartext as ct
 from orderlens.llm.bpe import small_batches, text_or_empty
 from orderlens.llm.components import components
@@ -43,10 +46,10 @@ from orderlens.sources.scratch import materialize
 
 MINHASHES = 3
 OCCURRENCES = 4  # T: common rare shingles that make a candidate
-SKETCH_BITS, SKETCH_PARTS = 20, 64
-LIST_BLOCK = 1_000
-CROSSING_BITS = 24  # of the table that tells shingles with more than one component from others
-TEXT_BLOCK = 256  # nodes of a block when candidates are compared block by block
+WORD_CHARS = 6  # a guess, for the number of cells only
+CELLS = 2  # for each shingle, within the bounds of `cells`
+CROSSING_CELLS = 16  # for each shingle that meets several components
+NODE_BLOCK = 256  # nodes of a block
 
 
 class Bound(NamedTuple):
@@ -112,21 +115,33 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _described(docs: DataFrame, words: int) -> DataFrame:
-    """Pass 1: a row for each document, and the parts of each task's sketch."""
+def _key(one: np.ndarray) -> bytes:
+    return hashlib.blake2b(one.tobytes(), digest_size=16).digest()
+
+
+def _described(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """Pass 1: a row for each document, and the cells of its task's shingles."""
     seeds = ct.mix(np.arange(1, MINHASHES + 1, dtype=np.uint64))
-    names = ["doc_id", "n", "set_key", "hashes", "part", "counts"]
+    names = ["doc_id", "n", "set_key", "hashes", "part", "packed"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
     schema = pa.schema(list(zip(names, types, strict=True)))
 
+    def batch_of(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], schema=schema)
+
+    def messages(found: list[tuple[int, bytes]]):
+        none = [None] * len(found)
+        return batch_of(none, none, none, none, [p for p, _ in found], [m for _, m in found])
+
     def work(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        gatherer = cells.Gatherer(bits)
         for batch in batches:
             for ids, texts in small_batches(batch):
                 sets = shingle_sets(texts, words)
                 flat = np.concatenate(sets)
-                sketch += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                if found := gatherer.add(flat):
+                    yield messages(found)
+                keys = [_key(s) if len(s) else None for s in sets]
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
                 least = np.zeros((len(sets), MINHASHES), np.uint64)
@@ -135,40 +150,27 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                     for k, seed in enumerate(seeds):
                         least[full, k] = np.minimum.reduceat(ct.mix(flat ^ seed), begins)
                 none = [None] * len(sets)
-                values = [ids, sizes, keys, list(least.view(np.int64)), none, none]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], schema=schema)
-        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SKETCH_PARTS)]
-        none = [None] * SKETCH_PARTS
-        values = [none, none, none, none, list(range(SKETCH_PARTS)), parts]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], schema=schema)
+                yield batch_of(ids, sizes, keys, list(least.view(np.int64)), none, none)
+        if found := gatherer.rest():
+            yield messages(found)
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text")).mapInArrow(
-        work, "doc_id long, n long, set_key binary, hashes array<long>, part int, counts binary"
+        work, "doc_id long, n long, set_key binary, hashes array<long>, part int, packed binary"
     )
     return materialize(made, "shingle_sets")
 
 
-def _frequency_classes(described: DataFrame) -> np.ndarray:
-    """A class from rare to frequent for each cell of the sketch; its size is fixed."""
-
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in rows["counts"])
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [np.asarray(counts).tobytes()]})
-
-    parts = described.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(
-        total, "part int, counts binary"
-    )
-    rows = sorted(parts.collect())
-    if not rows:  # an empty table
-        return np.zeros(1 << SKETCH_BITS, np.uint64)
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
-    return (8 * np.log2(counts + 1.0)).astype(np.uint64)
+def _frequent_from(shingles: int, bits: int) -> int:
+    """Counts of a cell that chance alone does not give: several deviations above the mean."""
+    mean = shingles / (1 << bits)
+    return int(np.ceil(mean + 3 * np.sqrt(mean) + 3))
 
 
-def _rare_first(one: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
-    """The n rarest elements of a sorted set, in one order for all sets: class, then hash."""
-    key = classes[(one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return one[np.argsort(key, kind="stable")[:n]]
+def _rare_first(one: np.ndarray, flags: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """The first n elements of a sorted set in one order for all sets: rare ones, then by hash."""
+    often = cells.contains(flags, one, bits)
+    rare = one[~often][:n]
+    return rare if len(rare) == n else np.concatenate([rare, one[often][: n - len(rare)]])
 
 
 # ---- comparing ----------------------------------------------------------------------------------
@@ -256,88 +258,152 @@ def divide_skip(lists: list[list[int]], least: int) -> list[int]:
     return found
 
 
-def _candidates(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: int, bound: Bound) -> DataFrame:
-    """For each node the smaller ones of other components that share T rare shingles with it, by
-    blocks: `qb` and `cb` are those of the node and of its candidates."""
-    ranks = docs.sparkSession.sparkContext.broadcast(classes.astype(np.uint16))
+def _heads(docs: DataFrame, nodes: DataFrame, flags: np.ndarray, bits: int, words: int, bound: Bound) -> DataFrame:
+    """Pass 2: `node, root, n` and the elements that every node posts, as packed 64-bit hashes.
 
-    def post(batches):
-        order = ranks.value
+    Heads, not texts, are shuffled to their nodes.
+    """
+    rare = docs.sparkSession.sparkContext.broadcast(flags)
+    schema = pa.schema([("set_key", pa.binary()), ("head", pa.binary())])
+
+    def first(batches):
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(2)], names=["row", "text"])
-            for rows, texts in small_batches(pair):
-                sets = shingle_sets(texts, words)
-                heads = [_rare_first(s, order, int(bound.prefix(len(s)))) for s in sets]
-                take = pa.array(np.repeat(rows.to_numpy(), [len(h) for h in heads]))
-                sizes = np.repeat([len(s) for s in sets], [len(h) for h in heads])
-                flat = np.concatenate(heads).view(np.int64)
+            for _, texts in small_batches(batch):
+                sets = [s for s in shingle_sets(texts, words) if len(s)]
+                heads = [_rare_first(s, rare.value, bits, int(bound.prefix(len(s)))).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes, pa.int64())],
-                    names=["shingle", "node", "root", "n"],
+                    [pa.array([_key(s) for s in sets], pa.binary()), pa.array(heads, pa.binary())], schema=schema
                 )
 
-    text = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text"))
-    posted = nodes.select("node", "root").join(text, "node").select("node", "root", "text").mapInArrow(
-        post, "shingle long, node long, root long, n long"
-    )
-    posted = materialize(posted, "postings")
-    crossing = (
-        posted.groupBy("shingle")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-        .where("low < high")
-        .select("shingle", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
-    )
-    crossing = materialize(crossing, "crossing")
-    flags = docs.sparkSession.sparkContext.broadcast(bittable.build(crossing, "shingle", CROSSING_BITS))
+    known = docs.where("doc_id is not null").select("doc_id", text_or_empty("text"))
+    heads = known.mapInArrow(first, "set_key binary, head binary").groupBy("set_key").agg(F.first("head").alias("head"))
+    return materialize(heads.join(nodes, "set_key").select("node", "root", "n", "head"), "heads")
 
-    def likely(batches):
-        for batch in batches:
-            shingle = batch.column(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(bittable.contains(flags.value, shingle, CROSSING_BITS)))
+
+def _lists(heads: DataFrame) -> tuple[DataFrame, int]:
+    """Inverted lists of the shingles that meet several components, cut into blocks of nodes.
+
+    Rows: shingle, block, nodes, roots, sizes (arrays in ascending order of (size, node)).  Also the
+    number of blocks.
+    """
+
+    def post(columns):
+        def work(batches):
+            for batch in batches:
+                counts = np.asarray(pc.binary_length(batch.column(3)), np.int64) // 8
+                for start, end in ct.groups(counts.tolist()):
+                    part = batch.slice(start, end - start)
+                    flat = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
+                    take = pa.array(np.repeat(np.arange(part.num_rows), counts[start:end]))
+                    yield from columns(flat, part, take)
+
+        return work
+
+    def narrow(flat, part, take):
+        yield pa.RecordBatch.from_arrays([pa.array(flat), part.column(1).take(take)], names=["shingle", "root"])
+
+    # A shuffle of (shingle, root) alone: min, max and count are made behind it.
+    met = heads.mapInArrow(post(narrow), "shingle long, root long").repartition(F.col("shingle"))
+    crossing = materialize(
+        met.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle"),
+        "crossing",
+    )
+    bits = cells.bits_for(crossing.count(), CROSSING_CELLS)
+    flags = heads.sparkSession.sparkContext.broadcast(cells.present(crossing, bits))
+
+    def likely(flat, part, take):
+        kept = np.flatnonzero(cells.contains(flags.value, flat.view(np.uint64), bits))
+        take = take.take(pa.array(kept))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(flat[kept]), *(part.column(k).take(take) for k in range(3))], names=["shingle", "node", "root", "n"]
+        )
 
     # Most postings go before anything is shuffled; the join makes it exact.
-    kept = materialize(posted.mapInArrow(likely, posted.schema).join(crossing, "shingle"), "lists")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    lists = kept.groupBy("shingle", block.alias("block")).agg(
-        F.array_sort(F.collect_set(F.struct("node", "root", "n"))).alias("members")
+    posted = heads.mapInArrow(post(likely), "shingle long, node long, root long, n long")
+    kept = materialize(posted.join(crossing, "shingle"), "postings")
+    blocks = max(1, -(-kept.select("node").distinct().count() // NODE_BLOCK))
+    member = F.struct("n", "node", "root")
+    lists = kept.groupBy("shingle", _block_of("node", blocks).alias("block")).agg(F.array_sort(F.collect_set(member)).alias("of"))
+    arrays = [F.col(f"of.{field}").alias(name) for field, name in _ARRAYS]
+    return materialize(lists.select("shingle", "block", *arrays), "inverted_lists"), blocks
+
+
+_ARRAYS = (("node", "nodes"), ("root", "roots"), ("n", "sizes"))
+
+
+def _candidates(lists: DataFrame, bound: Bound) -> DataFrame:
+    """For each node the smaller ones of other components that share T rare shingles with it, by
+    blocks: `qb` and `cb` are those of the node and of its candidates."""
+    sides = [
+        lists.select("shingle", F.col("block").alias(block), *[F.col(name).alias(f"{block}_{name}") for _, name in _ARRAYS])
+        for block in ("qb", "cb")
+    ]
+    ends = lambda column: (F.get(column, F.lit(0)), F.element_at(column, F.lit(-1)))
+    (q_low, q_high), (c_low, c_high) = ends(F.col("qb_sizes")), ends(F.col("cb_sizes"))
+    roots = F.concat("qb_roots", "cb_roots")
+    useful = (
+        (c_low <= q_high) & (bound.bottom * c_high >= bound.top * q_low) & (F.array_min(roots) < F.array_max(roots))
     )
-    lists = materialize(lists, "inverted_lists")
-    n_blocks = max(1, -(-kept.select("node").distinct().count() // TEXT_BLOCK))
-    asked = kept.select("shingle", F.col("node").alias("query"), F.col("root").alias("_root"), F.col("n").alias("_n"))
-    smaller = lambda m: (m["n"] < F.col("_n")) | ((m["n"] == F.col("_n")) & (m["node"] < F.col("query")))
-    fits = lambda m: (m["root"] != F.col("_root")) & (bound.bottom * m["n"] >= bound.top * F.col("_n"))
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
-        asked.join(lists, "shingle")
-        .withColumn("list", F.transform(F.filter("members", lambda m: smaller(m) & fits(m)), lambda m: m["node"]))
-        .where(F.size("list") > 0)
-        .select("query", "_n", "block", "list")
-    )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sides[0].join(sides[1], "shingle").where(useful).drop("shingle")
+        .repartition(parts, "qb", "cb").sortWithinPartitions("qb", "cb")
+    )
+    schema = pa.schema([("qb", pa.int32()), ("cb", pa.int32()), ("node", pa.int64()), ("candidates", pa.list_(pa.int64()))])
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        n, query = int(rows["_n"].iloc[0]), int(rows["query"].iloc[0])
+    def work(batches):
+        for (qb, cb), rows in _grouped(batches, ["qb", "cb"]):
+            found = list(search_block(rows, bound))
+            if found:
+                size = len(found)
+                values = [[qb] * size, [cb] * size, [q for q, _ in found], [c for _, c in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    order = ["qb", "cb", *(f"{block}_{name}" for block in ("qb", "cb") for _, name in _ARRAYS)]
+    return materialize(met.select(*order).mapInArrow(work, "qb int, cb int, node long, candidates array<long>"), "candidates")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of sorted batches by the values of the first columns, which are dropped."""
+    waiting: list[tuple] = []
+    last = None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for key, row in zip(zip(*columns[: len(keys)], strict=True), zip(*columns[len(keys) :], strict=True), strict=True):
+            if waiting and key != last:
+                yield last, waiting
+                waiting = []
+            last = key
+            waiting.append(row)
+    if waiting:
+        yield last, waiting
+
+
+def search_block(rows: list[tuple], bound: Bound) -> Iterator[tuple[int, list[int]]]:
+    """Each searching node of a block with its candidates in another (or the same) block.
+
+    A row is a shingle's list in both blocks: nodes, roots and sizes, twice.  A node is searched once
+    for each of its sizes, since rows that repeat an id are one document with several sets.
+    """
+    asked: dict[tuple[int, int, int], list[tuple]] = {}
+    for q_nodes, q_roots, q_sizes, *members in rows:
+        for query in zip(q_nodes, q_roots, q_sizes, strict=True):
+            asked.setdefault(query, []).append(members)
+    for (node, root, n), members in asked.items():
         # A partner has at least least(n) elements, so this holds for every pair.
         need = int(min(bound.occurrences(n), bound.occurrences(bound.least(n))))
-        by_block: dict[int, list[int]] = {}
-        for node in divide_skip([x.tolist() for x in rows["list"]], need):
-            by_block.setdefault(_block(node, n_blocks), []).append(node)
-        return pd.DataFrame(
-            {
-                "qb": np.full(len(by_block), _block(query, n_blocks), np.int32),
-                "cb": np.array(list(by_block), np.int32),
-                "node": np.full(len(by_block), query, np.int64),
-                "candidates": pd.Series(list(by_block.values()), dtype=object),
-            }
-        )
+        if len(members) < need:
+            continue
+        lists = [
+            sorted(c for c, r, m in zip(*one, strict=True) if r != root and (m, c) < (n, node) and bound.bottom * m >= bound.top * n)
+            for one in members
+        ]
+        if found := divide_skip(lists, need):
+            yield node, found
 
-    found = met.repartition(parts, "query").groupBy("query").applyInPandas(
-        search, "qb int, cb int, node long, candidates array<long>"
-    )
-    return materialize(found, "candidates")
 
-
-def _block(node: int, n: int) -> int:
-    return (node * 0x9E3779B97F4A7C15 % (1 << 64)) * n >> 64
+def _block_of(node: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
 
 
 def _linked_in_blocks(candidates: DataFrame, docs: DataFrame, words: int, bound: Bound) -> DataFrame:
@@ -423,25 +489,46 @@ def joined(docs: DataFrame, words: int = 5, bound: Bound = Bound()) -> DataFrame
     `component_id` is the smallest id reachable by links, the row's own included.  Null and empty
     texts and texts without words have no shingles and link with nothing.  Rows without an id link
     with nothing and have no component; rows that repeat an id are one document, all of whose texts
-    count.  An empty table gives an empty result; other columns are not read.
+    count, and have one component.  Texts of any length count whole.  An empty table gives an empty
+    result; other columns are not read.
     """
-    described = _described(docs, words)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = cells.bits_for(chars // WORD_CHARS, CELLS)
+    described = _described(docs, words, bits)
     rows = described.where("part is null")
-    nodes = (
-        rows.where("n > 0 and doc_id is not null")
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    linkable = rows.where("n > 0 and doc_id is not null")
+    nodes = linkable.groupBy("set_key").agg(
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("hashes").alias("hashes")
     )
     nodes = materialize(nodes, "set_nodes")
-    near = _linked(_near_minhash(nodes, bound), docs, words, bound)
+    near = _linked(_near_minhash(nodes, bound), docs, words, bound).unionByName(_repeated(linkable, nodes))
     grouped = components(near)
-    known = nodes.select("node").distinct().join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    candidates = _candidates(docs, materialize(known, "known_roots"), _frequency_classes(described), words, bound)
-    links = near.unionByName(_linked_in_blocks(candidates, docs, words, bound))
+    known = nodes.drop("hashes").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
+    messages = described.where("part is not null").select("part", "packed")
+    flags = cells.frequent(messages, bits, _frequent_from(shingles, bits))
+    lists, _ = _lists(_heads(docs, materialize(known, "known_roots"), flags, bits, words, bound))
+    links = near.unionByName(_linked_in_blocks(_candidates(lists, bound), docs, words, bound))
     roots = nodes.select("set_key", "node").join(components(links), "node", "left")
     roots = materialize(roots.select("set_key", F.coalesce("root", "node").alias("root")), "set_roots")
-    return rows.join(roots, "set_key", "left").select(
+    linked = rows.where("n > 0").join(roots, "set_key").select("doc_id", "n", "root")
+    # A row without shingles whose id has another row with some.
+    empty = rows.where("n = 0").select("doc_id", "n")
+    ids = empty.select("doc_id").distinct()
+    others = linkable.select("doc_id", "set_key").join(ids, "doc_id").join(roots, "set_key")
+    others = others.groupBy("doc_id").agg(F.min("root").alias("root"))
+    return linked.unionByName(empty.join(others, "doc_id", "left")).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("root", "doc_id"), "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
+    )
+
+
+def _repeated(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between an id that several sets have and the nodes of those sets."""
+    several = (
+        rows.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high")
     )
+    several = materialize(several.select("doc_id"), "repeated_ids")
+    of = rows.join(several, "doc_id").select("doc_id", "set_key").distinct()
+    return materialize(of.join(nodes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "id_links")

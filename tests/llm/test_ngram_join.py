@@ -2,10 +2,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_cases import SMALL, docs  # noqa: F401
 
-from orderlens.llm import ngram_join
+from orderlens.llm import cells, ngram_join
 from orderlens.llm.components import components
 from orderlens.llm.ngram_join import Bound
 
@@ -63,7 +64,7 @@ def near_copies():
 def test_components_are_exact(spark, docs, monkeypatch, words, top, minhash):  # noqa: F811
     if not minhash:  # the search alone finds all links
         monkeypatch.setattr(ngram_join, "_near_minhash", lambda nodes, bound: spark.createDataFrame([], "a long, b long"))
-        monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
+        monkeypatch.setattr(ngram_join, "NODE_BLOCK", 3)
     rows = near_copies()
     got = ngram_join.joined(docs(*rows), words, Bound(top, 100)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_hand(rows, words, top)
@@ -84,6 +85,63 @@ def test_odd_rows(docs):  # noqa: F811
     assert ngram_join.joined(docs(*rows).where("false")).count() == 0
 
 
+def test_repeated_ids(docs):  # noqa: F811
+    """All texts of an id count, also where they differ, and all its rows have one component."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(9))
+    c = " ".join(f"c{i}" for i in range(30))
+    rows = [(7, a), (7, b), (5, a), (3, b), (7, None), (7, c + " x"), (20, c + " y"), (21, c + " z"), (30, None), (30, "d e f")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.joined(docs(*rows)).collect())
+    assert got == [(i, 30 if i == 30 else 3) for i in sorted(i for i, _ in rows)]
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_of_complementary_letters_differ(docs, size):  # noqa: F811
+    word = "".join("ab"[i.bit_count() % 2] for i in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = ngram_join.joined(docs((1, f"{word} x y z"), (2, f"{other} x y z")), 4).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_search_of_blocks_equals_counting():
+    fuzz = random.Random(8)
+    bound = Bound(85, 100)
+    for _ in range(50):
+        sizes = {node: fuzz.randint(3, 30) for node in range(20)}
+        group = {node: fuzz.randrange(6) for node in sizes}
+        lists = [sorted(fuzz.sample(range(20), fuzz.randint(2, 15)), key=lambda x: (sizes[x], x)) for _ in range(12)]
+        sides = [[x for x in one if x % 2 == 0] for one in lists], [[x for x in one if x % 2] for one in lists]
+        rows = [
+            tuple(v for side in pair for v in (side, [group[x] for x in side], [sizes[x] for x in side]))
+            for pair in zip(*sides, strict=True)
+        ]
+        found = {q: sorted(c) for q, c in ngram_join.search_block(rows, bound)}
+        want = {}
+        for q in range(0, 20, 2):
+            need = int(min(bound.occurrences(sizes[q]), bound.occurrences(bound.least(sizes[q]))))
+            fits = lambda c: (sizes[c], c) < (sizes[q], q) and group[c] != group[q] and 100 * sizes[c] >= 85 * sizes[q]  # noqa: B023, E731
+            times = Counter(c for one, other in zip(*sides, strict=True) if q in one for c in other if fits(c))
+            if met := sorted(c for c, n in times.items() if n >= need):
+                want[q] = met
+        assert found == want
+
+
+def test_frequent_cells(spark):
+    """Counts by cell against a plain count; messages are added up in several groups."""
+    fuzz = np.random.default_rng(3)
+    hashes = fuzz.integers(0, 1 << 64, 5_000, np.uint64, endpoint=False)
+    hashes = np.concatenate([hashes, np.repeat(hashes[:300], 7)])
+    for bits in (16, 22):
+        rows = []
+        for some in np.array_split(fuzz.permutation(hashes), 9):
+            gatherer = cells.Gatherer(bits)
+            rows += gatherer.add(some) + gatherer.rest()
+        messages = spark.createDataFrame([(p, bytearray(m)) for p, m in rows], "part int, packed binary")
+        want = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) >= 4
+        table = cells.frequent(messages, bits, 4)
+        assert (np.unpackbits(table, bitorder="little").astype(bool) == want).all()
+        assert (cells.contains(table, hashes, bits) == want[(hashes >> np.uint64(64 - bits)).astype(np.int64)]).all()
+
+
 def test_divide_skip():
     fuzz = random.Random(5)
     for _ in range(2000):
