@@ -47,16 +47,86 @@ def box(source: str, group: str, value: str) -> str:
         GROUP BY g.{group}, q1, q2, q3"""
 
 
+TERMS = 10_000
+
+
+def _fold(term: str, last: str) -> str:
+    """`term` of f and k for k from TERMS down to 1: a continued fraction or series from its last term."""
+    return f"list_reduce(list_prepend(CAST({last} AS DOUBLE), range({TERMS}, 0, -1)), lambda f, k: {term})"
+
+
+def _beta(a: str, b: str, x: str, rest: str) -> str:
+    """The regularised incomplete beta function of x, `rest` being 1 - x."""
+
+    def part(a: str, b: str, x: str) -> str:
+        step = f"""CASE WHEN k % 2 = 0 THEN (k // 2) * ({b} - k // 2) * {x} / (({a} + k - 1) * ({a} + k))
+            ELSE -({a} + k // 2) * ({a} + {b} + k // 2) * {x} / (({a} + k - 1) * ({a} + k)) END"""
+        front = f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x}))"
+        return f"{front} / {a} / {_fold(f'1 + ({step}) / f', '1')}"
+
+    return f"""CASE WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {part(a, b, x)} ELSE 1 - {part(b, a, rest)} END"""
+
+
+def _gamma(a: str, x: str) -> str:
+    """The regularised upper incomplete gamma function."""
+    front = f"exp({a} * ln({x}) - {x} - lgamma({a}))"
+    return f"""CASE WHEN {x} < {a} + 1 THEN 1 - {front} / {a} * {_fold(f"1 + {x} / ({a} + k) * f", "1")}
+        ELSE {front} / ({_fold(f"{x} + 2 * k - 1 - {a} + k * ({a} - k) / f", f"{x} + {2 * TERMS + 1} - {a}")}) END"""
+
+
+def with_p(body: str, inner: str, p: str) -> str:
+    """`body` with p and both flags, from columns of `inner`, the unrounded statistics."""
+    return f"""SELECT {body}, {r("p")} AS p, p < 0.05 AS significant, p < 0.01 AS significant_01
+        FROM (SELECT *, {p} AS p FROM ({inner}))"""
+
+
+def p_t(t: str, df: str) -> str:
+    df, square = f"CAST({df} AS DOUBLE)", f"({t}) * ({t})"
+    return _beta(f"({df} / 2)", "0.5::DOUBLE", f"({df} / ({df} + {square}))", f"({square} / ({df} + {square}))")
+
+
+def p_f(f: str, df1: str, df2: str) -> str:
+    a, b = f"CAST({df1} AS DOUBLE)", f"CAST({df2} AS DOUBLE)"
+    return _beta(f"({b} / 2)", f"({a} / 2)", f"({b} / ({b} + {a} * {f}))", f"({a} * {f} / ({b} + {a} * {f}))")
+
+
+def p_chi2(x: str, df: str) -> str:
+    return _gamma(f"(CAST({df} AS DOUBLE) / 2)", f"({x} / 2)")
+
+
+def p_normal(z: str) -> str:
+    return f"CASE WHEN {z} <= 0 THEN 1 ELSE {_gamma('0.5::DOUBLE', f'({z} * {z} / 2)')} END"
+
+
 SQL: dict[str, str] = {}
-SQL["pearson_delay_review"] = f"""SELECT n, {r("x")} AS r, {_strength("x")}
-    FROM (SELECT count(*) AS n, corr(delivery_delay_days, review_score) AS x FROM t_rows)"""
-SQL["spearman_delay_review"] = f"""SELECT n, {r("x")} AS r, {_strength("x")}
-    FROM (SELECT count(*) AS n, corr(rx, ry) AS x FROM t_ranked)"""
+INNER = {
+    "pearson": "SELECT count(*) AS n, corr(delivery_delay_days, review_score) AS x FROM t_rows",
+    "spearman": "SELECT count(*) AS n, corr(rx, ry) AS x FROM t_ranked",
+    "welch_t": """SELECT (m1 - m2) / sqrt(v1/n1 + v2/n2) AS t,
+        (v1/n1 + v2/n2)^2 / ((v1/n1)^2/(n1-1) + (v2/n2)^2/(n2-1)) AS df FROM t_two""",
+    "mann_whitney": """SELECT u, (greatest(u, n1*n2 - u) - n1*n2/2 - 0.5) / sqrt(n1*n2/12 * (n1+n2+1 - ties/((n1+n2)*(n1+n2-1)))) AS z
+        FROM (SELECT sum(CASE WHEN is_late = 0 THEN ry END) - n1*(n1+1)/2 AS u, n1, n2, ties FROM t_ranked,
+            (SELECT CAST(sum(1 - is_late) AS DOUBLE) AS n1, CAST(sum(is_late) AS DOUBLE) AS n2 FROM t_rows),
+            (SELECT sum(t*t*t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM t_rows GROUP BY review_score))
+            GROUP BY n1, n2, ties)""",
+    "anova": """SELECT (b / (k-1)) / (w / (total-k)) AS f, k - 1 AS df1, CAST(total - k AS BIGINT) AS df2, b / (b + w) AS eta
+        FROM (SELECT count(*) AS k, sum(n) AS total, sum(n*(mean - grand)^2) AS b, sum((n-1)*sd*sd) AS w
+              FROM t_groups, (SELECT sum(n*mean)/sum(n) AS grand FROM t_groups))""",
+    "kruskal": """SELECT (12/(n*(n+1))*q - 3*(n+1)) / (1 - ties/(n*n*n - n)) AS h, k - 1 AS df
+        FROM (SELECT count(*) AS k, CAST(sum(c) AS DOUBLE) AS n, sum(rs*rs/c) AS q
+              FROM (SELECT customer_state, count(*) AS c, sum(rk) AS rs FROM t_kw GROUP BY 1)),
+             (SELECT sum(t*t*t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM t_kw GROUP BY rk))""",
+}
+P = {
+    **dict.fromkeys(("pearson", "spearman"), p_t("(x * sqrt((n - 2) / (1 - x * x)))", "(n - 2)")),
+    "welch_t": p_t("t", "df"), "mann_whitney": p_normal("z"), "anova": p_f("f", "df1", "df2"), "kruskal": p_chi2("h", "df"),
+}
+for _name in ("pearson", "spearman"):
+    SQL[f"{_name}_delay_review"] = with_p(f'n, {r("x")} AS r, {_strength("x")}', INNER[_name], P[_name])
 SQL["regression_line"] = f"""SELECT {r("regr_slope(review_score, delivery_delay_days)")} AS slope,
     {r("regr_intercept(review_score, delivery_delay_days)")} AS intercept FROM t_rows"""
 SQL["late_group_stats"] = f"SELECT is_late, n, {r('mean')} AS mean, {r('sd')} AS sd, {r('median')} AS median FROM t_late"
-SQL["welch_t"] = f"""SELECT {r("(m1 - m2) / sqrt(v1/n1 + v2/n2)")} AS t,
-    {r("(v1/n1 + v2/n2)^2 / ((v1/n1)^2/(n1-1) + (v2/n2)^2/(n2-1))")} AS df FROM t_two"""
+SQL["welch_t"] = with_p(f'{r("t")} AS t, {r("df")} AS df', INNER["welch_t"], P["welch_t"])
 _D = "(m1 - m2) / sqrt(((n1-1)*v1 + (n2-1)*v2) / (n1+n2-2))"
 SQL["cohens_d"] = f"""SELECT {r(_D)} AS d, CASE WHEN abs({_D}) < 0.2 THEN 'negligible' WHEN abs({_D}) < 0.5 THEN 'small'
     WHEN abs({_D}) < 0.8 THEN 'medium' ELSE 'large' END AS band FROM t_two"""
@@ -67,23 +137,25 @@ SQL["mean_diff_ci"] = " UNION ALL ".join(
         ("difference", "(m1 - m2)", "sqrt(v1/n1 + v2/n2)"),
         ("on_time", "m1", "sqrt(v1/n1)"), ("late", "m2", "sqrt(v2/n2)"))
 )
-SQL["mann_whitney"] = f"""SELECT u, {r("(greatest(u, n1*n2 - u) - n1*n2/2 - 0.5) / sqrt(n1*n2/12 * (n1+n2+1 - ties/((n1+n2)*(n1+n2-1))))")} AS z
-    FROM (SELECT sum(CASE WHEN is_late = 0 THEN ry END) - n1*(n1+1)/2 AS u, n1, n2, ties FROM t_ranked,
-        (SELECT CAST(sum(1 - is_late) AS DOUBLE) AS n1, CAST(sum(is_late) AS DOUBLE) AS n2 FROM t_rows),
-        (SELECT sum(t*t*t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM t_rows GROUP BY review_score))
-        GROUP BY n1, n2, ties)"""
+SQL["mann_whitney"] = with_p(f'{r("u")} AS u, {r("z")} AS z', INNER["mann_whitney"], P["mann_whitney"])
 SQL["anova_groups"] = f"""SELECT customer_state, n, {r("mean")} AS mean, {r("sd")} AS sd, {r("median")} AS median
     FROM t_groups"""
-_ETA = "b / (b + w)"
-SQL["anova_state"] = f"""SELECT {r("(b / (k-1)) / (w / (total-k))", 4)} AS f, k - 1 AS df1,
-    CAST(total - k AS BIGINT) AS df2, {r(_ETA)} AS eta_squared,
-    CASE WHEN {_ETA} < 0.06 THEN 'small' WHEN {_ETA} < 0.14 THEN 'medium' ELSE 'large' END AS band
-    FROM (SELECT count(*) AS k, sum(n) AS total, sum(n*(mean - grand)^2) AS b, sum((n-1)*sd*sd) AS w
-          FROM t_groups, (SELECT sum(n*mean)/sum(n) AS grand FROM t_groups))"""
-SQL["kruskal_state"] = f"""SELECT {r("(12/(n*(n+1))*q - 3*(n+1)) / (1 - ties/(n*n*n - n))", 4)} AS h, k - 1 AS df
-    FROM (SELECT count(*) AS k, CAST(sum(c) AS DOUBLE) AS n, sum(rs*rs/c) AS q
-          FROM (SELECT customer_state, count(*) AS c, sum(rk) AS rs FROM t_kw GROUP BY 1)),
-         (SELECT sum(t*t*t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM t_kw GROUP BY rk))"""
+SQL["anova_state"] = with_p(
+    f"""{r("f", 4)} AS f, df1, df2, {r("eta")} AS eta_squared,
+    CASE WHEN eta < 0.06 THEN 'small' WHEN eta < 0.14 THEN 'medium' ELSE 'large' END AS band""",
+    INNER["anova"], P["anova"],
+)
+SQL["kruskal_state"] = with_p(f'{r("h", 4)} AS h, df', INNER["kruskal"], P["kruskal"])
+SQL["hypothesis_summary"] = " UNION ALL ".join(
+    f"""SELECT '{test}' AS test, {r(x, 4)} AS statistic, CAST({d1} AS DOUBLE) AS df1, CAST({d2} AS DOUBLE) AS df2,
+    {r("p")} AS p, p < 0.05 AS significant, p < 0.01 AS significant_01 FROM (SELECT *, {P[test]} AS p FROM ({INNER[test]}))"""
+    for test, x, d1, d2 in (
+        ("pearson", "x", "n - 2", "NULL"), ("spearman", "x", "n - 2", "NULL"), ("welch_t", "t", r("df"), "NULL"),
+        ("mann_whitney", "u", "NULL", "NULL"), ("anova", "f", "df1", "df2"), ("kruskal", "h", "df", "NULL"))
+)
+SQL["scatter_sample"] = """SELECT delivery_delay_days, review_score FROM t_rows
+    ORDER BY CAST('0x' || substr(md5(order_id || '|' || order_item_id || '|42'), 1, 15) AS BIGINT), order_id, order_item_id
+    LIMIT 5000"""
 SQL["state_mean_ci"] = f"""SELECT customer_state, n, {r("mean")} AS mean, {r("sd")} AS sd, {r("median")} AS median,
     {r("sd/sqrt(n)")} AS se, {r("1.96*sd/sqrt(n)")} AS ci FROM t_groups"""
 _CLASS = case_bucket(

@@ -18,6 +18,7 @@ from orderlens.functions.buckets import (
     bucket_order,
     magnitude,
 )
+from orderlens.functions.draws import seeded_draw
 from orderlens.functions.exact import exact_mean
 from orderlens.functions.pvalues import p_chi2, p_f, p_normal, p_t
 from orderlens.operators.ranks import mid_ranks, rank_sums, tie_term, value_counts
@@ -94,9 +95,11 @@ def _with_correlation_p(df: DataFrame) -> DataFrame:
 
 
 def pearson(star) -> DataFrame:
-    return _describe_correlation(
-        test_rows(star).agg(
-            F.count("*").alias("n"), F.corr("delivery_delay_days", "review_score").alias("r")
+    return _with_correlation_p(
+        _describe_correlation(
+            test_rows(star).agg(
+                F.count("*").alias("n"), F.corr("delivery_delay_days", "review_score").alias("r")
+            )
         )
     )
 
@@ -122,7 +125,7 @@ def spearman(star) -> DataFrame:
         F.sum(n * y * y).alias("yy"),
     )
     rho = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
-    return _describe_correlation(moments.select("n", rho.alias("r")))
+    return _with_correlation_p(_describe_correlation(moments.select("n", rho.alias("r"))))
 
 
 def regression_line(star) -> DataFrame:
@@ -133,8 +136,8 @@ def regression_line(star) -> DataFrame:
 
 
 def scatter_sample(star, rows: int = 5000, seed: int = 42) -> DataFrame:
-    """`rows` items drawn by a seeded hash of their key: the same items on every run."""
-    draw = F.xxhash64("order_id", "order_item_id", F.lit(seed))
+    """`rows` items drawn by a seeded hash of their key: the same items on every run and engine."""
+    draw = seeded_draw(["order_id", "order_item_id"], seed)
     return (
         test_rows(star)
         .orderBy(draw, "order_id", "order_item_id")
@@ -184,10 +187,11 @@ def _standard_errors() -> tuple[Column, Column]:
 def welch_t(star) -> DataFrame:
     e1, e2 = _standard_errors()
     spread = e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1)
-    return _two_groups(star).select(
+    found = _two_groups(star).select(
         F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(e1 + e2)).alias("t"),
         F.try_divide((e1 + e2) * (e1 + e2), spread).alias("df"),
     )
+    return _significance(found, p_t(F.col("t"), F.col("df")))
 
 
 def cohens_d(star) -> DataFrame:
@@ -238,7 +242,7 @@ def mann_whitney(star) -> DataFrame:
         n1 * n2 / F.lit(12.0) * (total + 1 - F.col("ties") / (total * (total - 1)))
     )
     larger = F.greatest(u, n1 * n2 - u)
-    return (
+    found = (
         sums.agg(of(0, "n").alias("n1"), of(1, "n").alias("n2"), of(0, "rank_sum").alias("r1"))
         .withColumn("ties", ties)
         .select(
@@ -246,6 +250,7 @@ def mann_whitney(star) -> DataFrame:
             F.try_divide(larger - n1 * n2 / 2 - F.lit(0.5), spread).alias("z"),
         )
     )
+    return _significance(found, p_normal(F.col("z")))
 
 
 # --- delivery time across states -----------------------------------------------------------
@@ -283,28 +288,26 @@ def anova_groups(star, states: int = 10) -> DataFrame:
 
 
 def anova(star, states: int = 10) -> DataFrame:
-    """One-way F and eta squared from the group sizes, means and variances."""
-    groups = anova_groups(star, states)
+    """One-way F, its p-value and eta squared from the group sizes, means and variances."""
     n, mean, sd = F.col("n"), F.col("mean"), F.col("sd")
-    sums = groups.agg(
+    groups = anova_groups(star, states)
+    # The few groups are read twice: squares of deviations, unlike differences of squares, do not cancel.
+    grand = groups.agg(F.sum(n * mean) / F.sum("n")).scalar()
+    away = mean - F.col("grand")
+    sums = groups.withColumn("grand", grand).agg(
         F.count("*").alias("k"),
         F.sum("n").alias("total"),
-        F.sum(n * mean).alias("s"),
-        F.sum(n * mean * mean).alias("q"),
+        F.sum(n * away * away).alias("between"),
         F.sum((n - 1) * sd * sd).alias("within"),
     )
-    between = F.col("q") - F.col("s") * F.col("s") / F.col("total")
     df1, df2 = F.col("k") - 1, F.col("total") - F.col("k")
-    return (
-        sums.withColumn("between", between)
-        .select(
-            F.try_divide(F.col("between") / df1, F.col("within") / df2).alias("f"),
-            df1.alias("df1"),
-            df2.alias("df2"),
-            F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_squared"),
-        )
-        .withColumn("band", magnitude(F.col("eta_squared"), ETA_BANDS, EFFECT_TOP))
-    )
+    found = sums.select(
+        F.try_divide(F.col("between") / df1, F.col("within") / df2).alias("f"),
+        df1.alias("df1"),
+        df2.alias("df2"),
+        F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_squared"),
+    ).withColumn("band", magnitude(F.col("eta_squared"), ETA_BANDS, EFFECT_TOP))
+    return _significance(found, p_f(F.col("f"), F.col("df1"), F.col("df2")))
 
 
 def kruskal(star, states: int = 10) -> DataFrame:
@@ -316,7 +319,7 @@ def kruskal(star, states: int = 10) -> DataFrame:
     total = F.col("total")
     h = F.lit(12.0) / (total * (total + 1)) * F.col("squares") - F.lit(3.0) * (total + 1)
     correction = F.lit(1.0) - F.col("ties") / (total * total * total - total)
-    return (
+    found = (
         rank_sums(counts, "delivery_days", "customer_state")
         .agg(
             F.count("*").alias("k"),
@@ -326,6 +329,7 @@ def kruskal(star, states: int = 10) -> DataFrame:
         .withColumn("ties", ties)
         .select(F.try_divide(h, correction).alias("h"), (F.col("k") - 1).alias("df"))
     )
+    return _significance(found, p_chi2(F.col("h"), F.col("df")))
 
 
 def state_mean_ci(star, states: int = 10) -> DataFrame:
@@ -399,8 +403,8 @@ def summary(star) -> DataFrame:
     """One row per test: statistic, degrees of freedom, p-value, significance at 5% and 1%."""
     none = F.lit(None).cast("double")
 
-    def row(df: DataFrame, name: str, statistic: str, p: Column, df1=none, df2=none) -> DataFrame:
-        return _significance(df, p).select(
+    def row(df: DataFrame, name: str, statistic: str, df1=none, df2=none) -> DataFrame:
+        return df.select(
             F.lit(name).alias("test"),
             F.col(statistic).cast("double").alias("statistic"),
             df1.cast("double").alias("df1"),
@@ -408,18 +412,12 @@ def summary(star) -> DataFrame:
             "p", "significant", "significant_01",
         )
 
-    def correlation(df: DataFrame, name: str) -> DataFrame:
-        return row(_with_correlation_p(df), name, "r", F.col("p"), F.col("n") - 2)
-
-    h, f, t = kruskal(star), anova(star), welch_t(star)
     rows = [
-        correlation(pearson(star), "pearson"),
-        correlation(spearman(star), "spearman"),
-        row(t, "welch_t", "t", p_t(F.col("t"), F.col("df")), F.col("df")),
-        row(mann_whitney(star), "mann_whitney", "u", p_normal(F.col("z"))),
-        row(f, "anova", "f", p_f(F.col("f"), F.col("df1"), F.col("df2")),
-            F.col("df1"), F.col("df2")),
-        row(h, "kruskal", "h", p_chi2(F.col("h"), F.col("df")), F.col("df")),
+        row(pearson(star), "pearson", "r", F.col("n") - 2),
+        row(spearman(star), "spearman", "r", F.col("n") - 2),
+        row(welch_t(star), "welch_t", "t", F.col("df")),
+        row(mann_whitney(star), "mann_whitney", "u"),
+        row(anova(star), "anova", "f", F.col("df1"), F.col("df2")),
+        row(kruskal(star), "kruskal", "h", F.col("df")),
     ]
     return reduce(DataFrame.unionByName, rows)
-

@@ -54,6 +54,39 @@ def ml_split(star) -> DataFrame:
     )
 
 
+def ml_folds(star) -> DataFrame:
+    """Keys and labels of the training rows with their folds."""
+
+    def build() -> DataFrame:
+        return materialize(features.stratified_folds(train_rows(star).select(*KEYS, LABEL), models.FOLDS), "ml_folds")
+
+    return star.once("ml_folds", build)
+
+
+def ml_features_oof(star) -> DataFrame:
+    """Feature rows whose late rates leave the row's own fold out; test rows have no fold."""
+
+    def build() -> DataFrame:
+        rows = ml_features(star).join(ml_folds(star).select(*KEYS, "fold"), KEYS, "left")
+        return materialize(features.out_of_fold(materialize(rows, "folded_features"), models.FOLDS), "ml_features_oof")
+
+    return star.once("ml_features_oof", build)
+
+
+def metrics_oof(star, name: str, **settings) -> DataFrame:
+    """The model fitted and evaluated on out-of-fold rates: what it is worth without the leak."""
+
+    def build() -> DataFrame:
+        rows = models.fill_levels(materialize(features.impute(ml_features_oof(star)), "imputed_oof"))
+        design = models.fit_encoder(rows).transform(rows).select(*KEYS, LABEL, "fold", "features")
+        design = materialize(design.hint("rebalance"), "design_oof")
+        train, test = (design.where(test).drop("fold") for test in ("fold is not null", "fold is null"))
+        fitted = models.fit(name, train, **settings)
+        return materialize(models.scored(fitted, test, f"{name}, out-of-fold rates"), "scores_oof")
+
+    return models.classification_metrics(star.once(f"scores oof {name}", build))
+
+
 def train_rows(star) -> DataFrame:
     return ml_split(star).where(F.col("split") == "train")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.functions.draws import seeded_draw
 from orderlens.operators.order_stats import exact_median, order_statistics
 from orderlens.operators.skew import split_join
 from orderlens.sources.scratch import materialize
@@ -131,7 +132,7 @@ def stratified_split(rows: DataFrame, test_share: float = TEST_SHARE, seed: int
     Exact sizes need the hash standing at one position per label; that row is located without
     sorting, and the split is a comparison with it.  Expects written rows.
     """
-    drawn = rows.withColumn("draw", F.xxhash64(*KEYS, F.lit(seed)))
+    drawn = rows.withColumn("draw", seeded_draw(KEYS, seed))
     order = ["draw", *KEYS]
     sizes = {r[LABEL]: r["count"] for r in drawn.groupBy(LABEL).count().collect()}
     test = F.lit(False)
@@ -148,6 +149,72 @@ def stratified_split(rows: DataFrame, test_share: float = TEST_SHARE, seed: int
     return drawn.withColumn("split", F.when(test, "test").otherwise("train")).drop("draw")
 
 
+def stratified_folds(rows: DataFrame, folds: int, seed: int = SEED + 1) -> DataFrame:
+    """Add `fold` (0 .. folds - 1): of each label every fold holds the same number of rows, or one more.
+
+    The rows where a fold begins are located in the order of a seeded hash, label by label, without
+    sorting; the fold is the number of such rows not after a row.  Expects written rows.
+    """
+    drawn = rows.withColumn("draw", seeded_draw(KEYS, seed))
+    order = ["draw", *KEYS]
+    sizes = {r[LABEL]: r["count"] for r in drawn.groupBy(LABEL).count().collect()}
+    fold = F.lit(0)
+    for label, size in sizes.items():
+        starts = sorted({size * k // folds + 1 for k in range(1, folds) if size * k // folds < size})
+        of_label = drawn.where(F.col(LABEL) == label)
+        cuts = order_statistics(of_label, order, starts, size) if starts else []
+        for cut, start in zip(cuts, starts, strict=True):
+            bound = F.struct(*[F.lit(v).cast(drawn.schema[c].dataType).alias(c) for c, v in zip(order, cut)])
+            # Several folds begin at one row where a label has fewer rows than folds.
+            begins = sum(size * k // folds + 1 == start for k in range(1, folds))
+            fold = fold + F.when((F.col(LABEL) == label) & (F.struct(*order) >= bound), begins).otherwise(0)
+    return drawn.withColumn("fold", fold).drop("draw")
+
+
+def _fold_totals(rows: DataFrame, key: str, folds: int) -> DataFrame:
+    """One row per key: late rows and rows of each fold, as arrays.  Rows without a fold do not count."""
+    of = [F.col("fold") == k for k in range(folds)]
+    return (
+        rows.where(F.col("fold").isNotNull())
+        .groupBy(key)
+        .agg(
+            F.array(*[F.coalesce(F.sum(F.when(test, F.col(LABEL))), F.lit(0)) for test in of]).alias(f"{key}_late"),
+            F.array(*[F.count_if(test) for test in of]).alias(f"{key}_n"),
+        )
+    )
+
+
+def _but_own(totals: str) -> Column:
+    """The sum of an array of totals without that of the row's own fold, if it has one."""
+    own = F.coalesce(F.get(totals, F.col("fold")), F.lit(0))
+    return F.aggregate(totals, F.lit(0).cast("long"), lambda a, x: a + x) - own
+
+
+def out_of_fold(rows: DataFrame, folds: int) -> DataFrame:
+    """`rows` (written, with `fold`) with late rates that no row's own label has a part in.
+
+    A training row's seller and state are rated over the training rows of the other folds, a row
+    without a fold over all of them.  Each key's totals by fold come from one aggregation, and what a
+    row must not see is subtracted.  A key that no other fold knows has the rate of all rows there.
+    """
+    everything = _fold_totals(rows.withColumn("all", F.lit(1)), "all", folds)
+    states = materialize(_fold_totals(rows, "customer_state", folds), "state_folds")
+    known = split_join(rows, _fold_totals(rows, "seller_id", folds), "seller_id", "left")
+    known = known.join(states, "customer_state", "left")
+    known = known.withColumn("of_all", everything.select(F.struct("all_late", "all_n")).scalar())
+    known = known.withColumns({"all_late": F.col("of_all.all_late"), "all_n": F.col("of_all.all_n")})
+
+    def rate(key: str) -> Column:
+        return F.try_divide(_but_own(f"{key}_late"), _but_own(f"{key}_n"))
+
+    return known.withColumns(
+        {
+            "seller_late_rate": F.coalesce(rate("seller_id"), rate("all")),
+            "state_late_rate": F.coalesce(rate("customer_state"), rate("all")),
+        }
+    ).select(*rows.columns)
+
+
 def attributes(features: DataFrame) -> DataFrame:
     """The order attributes a caller of the batch scorer supplies, taken from feature rows."""
     return features.select(

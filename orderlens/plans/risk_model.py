@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.operators.ranks import rank_sums, running_totals, value_counts
-from orderlens.plans.risk_features import CATEGORICAL, KEYS, LABEL, NUMERIC, SEED
+from orderlens.plans.risk_features import CATEGORICAL, KEYS, LABEL, NUMERIC, SEED, stratified_folds
 from orderlens.sources.scratch import materialize, new_path
 
 LR, RF = "Logistic Regression", "Random Forest"
@@ -27,9 +27,10 @@ FOREST = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5}
 # How the forest is computed: candidate splits per number, and node ids kept per row
 # (checkpointed every ten levels) instead of walking every tree anew.  The memory for node
 # statistics decides which nodes are split together, and so the features drawn for them: it is fixed.
-FOREST_TUNING = {"maxBins": 128, "cacheNodeIds": True, "maxMemoryInMB": 256}
-# Partitions that a model is fitted on.
-FIT_PARTITIONS = 32
+FOREST_TUNING = {"maxBins": 64, "cacheNodeIds": True, "maxMemoryInMB": 256}
+# Rows of a partition that a model is fitted on.  Every partition adds up node statistics of its own,
+# whose size does not depend on its rows: many small partitions cost far more than they save.
+FIT_ROWS = 50_000
 LR_ITERATIONS = 1000
 SCORING_DEFAULTS = {
     "payment_installments": 1.0, "product_volume_cm3": 5000.0, "product_photos_qty": 1.0,
@@ -44,9 +45,6 @@ DRIVERS = (
 SEASON = ("Seasonality", (11, 12))
 NO_DRIVER = "standard"
 
-# Scores lie between 0 and 1; running totals over them are kept in chunks of this width.
-SCORE_CHUNK = 1e-4
-
 
 # --- design matrix -------------------------------------------------------------------------
 
@@ -136,16 +134,20 @@ def forest(**settings) -> Pipeline:
     )
 
 
-def spread(rows: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+def spread(rows: DataFrame, partitions: int) -> DataFrame:
     """A layout that depends on the rows alone: bagging follows partitions and their order."""
     return rows.repartition(partitions, *KEYS).sortWithinPartitions(*KEYS)
 
 
-def fit(name: str, train: DataFrame, partitions: int = FIT_PARTITIONS, **settings) -> PipelineModel:
+def fit_partitions(rows: int) -> int:
+    return max(1, -(-rows // FIT_ROWS))
+
+
+def fit(name: str, train: DataFrame, partitions: int | None = None, **settings) -> PipelineModel:
     """Fit one model to rows of the design (key, label, features).
 
-    Rows are laid out in `partitions` by their key, so that the model does not depend on the machine
-    or on how the rows were stored; raise it with the number of rows.
+    Rows are laid out by their key, in one partition for `FIT_ROWS` of them, so that the model does
+    not depend on the machine or on how the rows were stored.
 
     The model is written and read back.  A freshly fitted one holds on to its training summary
     and through it to the session, which cannot be sent to executors once the session has been
@@ -154,7 +156,7 @@ def fit(name: str, train: DataFrame, partitions: int = FIT_PARTITIONS, **setting
     path = new_path(train.sparkSession, "model")  # also names the folder of checkpoints
     rows, total = weighted(train)
     pipeline = logistic(total) if name == LR else forest(**settings)
-    pipeline.fit(spread(rows, partitions)).write().save(path)
+    pipeline.fit(spread(rows, partitions or fit_partitions(total))).write().save(path)
     return PipelineModel.load(path)
 
 
@@ -174,20 +176,26 @@ def scored(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     )
 
 
-def cross_validate(name: str, train: DataFrame, folds: int = FOLDS, **settings) -> DataFrame:
-    """Mean and deviation of the area under the ROC curve over hashed folds.
+def cross_validate(
+    name: str, train: DataFrame, folds: int = FOLDS, at_once: int | None = None, **settings
+) -> DataFrame:
+    """Mean and deviation of the area under the ROC curve over stratified folds of exact size.
 
-    Folds are independent and submitted together, so one fills the cores another leaves idle.
+    The folds are written once.  Fits are independent; as many run at once as leave each of them a
+    core for every partition (or `at_once`), so that small ones fill the cores and large ones wait.
     """
-    fold = F.pmod(F.xxhash64(*KEYS, F.lit(SEED + 1)), F.lit(folds))
-    rows = train.withColumn("fold", fold)
+    columns = [*KEYS, LABEL, "features"]
+    rows = materialize(stratified_folds(train.select(*columns), folds).hint("rebalance"), "folds")
+    if at_once is None:
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        at_once = min(folds, max(1, cores // fit_partitions(rows.count())))
 
     def area(held_out: int) -> float:
         model = fit(name, rows.where(F.col("fold") != held_out), **settings)
         part = scored(model, rows.where(F.col("fold") == held_out), name)
         return roc_auc(part).first()["roc_auc"]
 
-    with ThreadPoolExecutor(folds) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         areas = list(pool.map(area, range(folds)))
     return train.sparkSession.createDataFrame(
         [(name, statistics.fmean(areas), statistics.pstdev(areas))],
@@ -230,7 +238,7 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     late = F.col(LABEL) == 1
     n1, n0, r1 = F.col("n1"), F.col("n0"), F.col("r1")
     return (
-        rank_sums(counts, "probability", LABEL, SCORE_CHUNK)
+        rank_sums(counts, "probability", LABEL, width=None)
         .agg(
             F.sum(F.when(late, n)).alias("n1"),
             F.sum(F.when(~late, n)).alias("n0"),
@@ -241,9 +249,11 @@ def roc_auc(rows: DataFrame) -> DataFrame:
 
 
 def roc_points(rows: DataFrame) -> DataFrame:
-    """Rates at every distinct score taken as threshold (score >= threshold is late).
+    """Rates at distinct scores taken as threshold (score >= threshold is late).
 
-    The curve starts in the origin, where no score reaches the (empty) threshold.
+    The curve starts in the origin, where no score reaches the (empty) threshold.  Scores whose point
+    lies on the line between its neighbours are left out: there the steps before and after it have
+    the same direction.  The curve is the same without them.
     """
     late = F.col(LABEL)
     counts = rows.groupBy("probability").agg(
@@ -257,8 +267,13 @@ def roc_points(rows: DataFrame) -> DataFrame:
         above = total - F.col(f"{name}_upto") + F.col(name)
         return F.try_divide(above.cast("double"), total)
 
+    exact = lambda name: F.col(name).cast("decimal(19,0)")
+    bends = F.col("positive_before").isNull() | (
+        exact("positive") * exact("negative_before") != exact("negative") * exact("positive_before")
+    )
     points = (
-        running_totals(counts, "probability", ["positive", "negative"], SCORE_CHUNK)
+        running_totals(counts, "probability", ["positive", "negative"], width=None, before=True)
+        .where(bends)
         .withColumn("totals", totals)
         .select(
             F.col("probability").alias("threshold"),

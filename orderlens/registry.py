@@ -118,14 +118,20 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "mann_whitney": lambda s: rounded(hypothesis.mann_whitney(s)),
     "anova_groups": lambda s: rounded(hypothesis.anova_groups(s)),
     "anova_state": lambda s: rounded(hypothesis.anova(s)).withColumn("f", F.round("f", 4)),
-    "kruskal_state": lambda s: rounded(hypothesis.kruskal(s), 4),
+    "kruskal_state": lambda s: rounded(hypothesis.kruskal(s)).withColumn("h", F.round("h", 4)),
     "state_mean_ci": lambda s: rounded(hypothesis.state_mean_ci(s)),
-    "hypothesis_summary": hypothesis.summary,
+    "hypothesis_summary": lambda s: rounded(hypothesis.summary(s)).withColumn("statistic", F.round("statistic", 4)),
     "ml_rows": lambda s: risk.ml_rows(s).select("*"),
     "ml_features": lambda s: rounded(risk.ml_features(s)),
     "ml_imputed": lambda s: rounded(risk.imputed_numbers(s)),
     "ml_design": risk.design_arrays,
     "ml_split": lambda s: risk.ml_split(s).select("order_id", "order_item_id", "is_late", "split"),
+    "ml_folds": lambda s: risk.ml_folds(s).select("order_id", "order_item_id", "is_late", "fold"),
+    "ml_features_oof": lambda s: rounded(
+        risk.ml_features_oof(s).select(
+            "order_id", "order_item_id", "is_late", "fold", "seller_late_rate", "state_late_rate"
+        )
+    ),
     "confusion": lambda s: models.confusion(risk.rule_scores(s)),
     "classification_metrics": lambda s: rounded(
         models.classification_metrics(risk.rule_scores(s))
@@ -143,6 +149,8 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "rf_class_report": lambda s: rounded(models.class_report(risk.scores(s, models.RF))),
     "rf_roc_points": lambda s: rounded(models.roc_points(risk.scores(s, models.RF))),
     "rf_metrics": lambda s: risk.metrics(s, models.RF),
+    "lr_metrics_oof": lambda s: risk.metrics_oof(s, models.LR),
+    "rf_metrics_oof": lambda s: risk.metrics_oof(s, models.RF),
     "rf_importance": risk.forest_importances,
     "best_model": risk.best_model,
     "score_orders": risk.scored_orders,

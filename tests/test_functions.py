@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -64,32 +66,56 @@ def test_magnitude_bands(spark):
     ]
 
 
-# Values of printed statistical tables.
-@pytest.mark.parametrize(
-    "p, expected",
-    [
-        (pvalues.t_two_sided(2.228, 10), 0.05),
-        (pvalues.t_two_sided(-12.706, 1), 0.05),
-        (pvalues.t_two_sided(1.96, 1e7), 0.05),
-        (pvalues.f_upper(3.3258, 5, 10), 0.05),
-        (pvalues.f_upper(4.0012, 1, 60), 0.05),
-        (pvalues.chi2_upper(3.841, 1), 0.05),
-        (pvalues.chi2_upper(16.919, 9), 0.05),
-        (pvalues.chi2_upper(21.666, 9), 0.01),
-        (pvalues.normal_doubled_upper(1.959964), 0.05),
-        (pvalues.normal_doubled_upper(-0.3), 1.0),
-        (pvalues.f_upper(0.0, 2, 3), 1.0),
-        (pvalues.chi2_upper(0.0, 3), 1.0),
-    ],
-)
-def test_tail_probabilities(p, expected):
-    assert p == pytest.approx(expected, rel=2e-3)
+def values(spark, *ps):
+    """Tail probabilities of literals, without a table."""
+    return list(spark.range(1).select(*[p.alias(f"p{i}") for i, p in enumerate(ps)]).first())
+
+
+def lit(function, *values, **kw):
+    return function(*[F.lit(float(v)) for v in values], **kw)
+
+
+# Printed statistical tables.
+PRINTED = [
+    (pvalues.p_t, (2.228, 10), 0.05),
+    (pvalues.p_t, (-12.706, 1), 0.05),
+    (pvalues.p_t, (1.96, 1e7), 0.05),
+    (pvalues.p_f, (3.3258, 5, 10), 0.05),
+    (pvalues.p_f, (4.0012, 1, 60), 0.05),
+    (pvalues.p_chi2, (3.841, 1), 0.05),
+    (pvalues.p_chi2, (16.919, 9), 0.05),
+    (pvalues.p_chi2, (21.666, 9), 0.01),
+    (pvalues.p_normal, (1.959964,), 0.05),
+    (pvalues.p_normal, (-0.3,), 1.0),
+    (pvalues.p_f, (0.0, 2, 3), 1.0),
+    (pvalues.p_chi2, (0.0, 3), 1.0),
+    (pvalues.p_t, (0.0, 5), 1.0),
+]
 
 
-def test_tails_of_extreme_statistics():
-    assert pvalues.t_two_sided(90.3, 9000) == 0.0 or pvalues.t_two_sided(90.3, 9000) < 1e-300
-    assert pvalues.chi2_upper(18770.0, 9) < 1e-300
-    assert pvalues.t_two_sided(0.0, 5) == pytest.approx(1.0)
+def test_tail_probabilities(spark):
+    found = values(spark, *[lit(function, *given) for function, given, _ in PRINTED])
+    assert found == pytest.approx([p for *_, p in PRINTED], rel=2e-3)
+
+
+def test_tails_of_known_form(spark):
+    """Distributions with closed tails, to nearly all digits."""
+    zs = (0.1, 1.0, 3.0, 8.0, 20.0)
+    for function, more, closed in (
+        (pvalues.p_normal, (), lambda z: math.erfc(z / math.sqrt(2))),
+        (pvalues.p_chi2, (2,), lambda z: math.exp(-z / 2)),
+        (pvalues.p_t, (1,), lambda z: 2 / math.pi * math.atan(1 / z)),
+        (pvalues.p_t, (2,), lambda z: 2 / (math.sqrt(z * z + 2) * (math.sqrt(z * z + 2) + z))),
+        (pvalues.p_f, (2, 7), lambda z: (1 + 2 * z / 7) ** -3.5),
+    ):
+        assert values(spark, *[lit(function, z, *more) for z in zs]) == pytest.approx([closed(z) for z in zs], rel=1e-9)
+    zs = (0.5, 1.0, 7.3, 1e3, 5e6)
+    found = values(spark, *[lit(pvalues.log_gamma, z) for z in zs])
+    assert found == pytest.approx([math.lgamma(z) for z in zs], rel=1e-13, abs=1e-12)
+
+
+def test_tails_of_extreme_statistics(spark):
+    assert max(values(spark, lit(pvalues.p_t, 90.3, 9000), lit(pvalues.p_chi2, 18770.0, 9))) < 1e-300
 
 
 def test_p_columns_pass_nulls(spark):
@@ -98,23 +124,15 @@ def test_p_columns_pass_nulls(spark):
     assert p[0] == pytest.approx(0.05, rel=2e-3) and p[1] is None
 
 
-@pytest.mark.parametrize("df", [1e5, 1e7, 1e9, 1e13])
-def test_tails_at_many_degrees_of_freedom(df):
+def test_tails_at_many_degrees_of_freedom(spark):
     # Both ways to compute them meet, and the limits are reached.
-    near = dict(rel=1e-8)
-    edge = df * (1 - 1e-9)
-    for t in (0.5, 2.0, 6.0, 12.0):
-        assert pvalues.t_two_sided(t, df) == pytest.approx(pvalues.t_two_sided(t, edge), **near)
-    for f in (0.8, 1.5, 3.0, 9.0):
-        assert pvalues.f_upper(f, 9, df) == pytest.approx(pvalues.f_upper(f, 9, edge), **near)
-    if df == 1e13:
-        assert pvalues.t_two_sided(2.0, df) == pytest.approx(0.04550026389635842, **near)
-        assert pvalues.f_upper(1.5, 9, df) == pytest.approx(pvalues.chi2_upper(13.5, 9), **near)
-
-
-def test_a_series_that_does_not_converge_is_an_error(monkeypatch):
-    monkeypatch.setattr(pvalues, "_STEPS", 3)
-    with pytest.raises(ArithmeticError):
-        pvalues.t_two_sided(2.0, 1000)
-    with pytest.raises(ArithmeticError):
-        pvalues.chi2_upper(500.0, 400)
+    for df in (1e5, 1e7, 1e13):
+        made = [(pvalues.p_t, (t,)) for t in (0.5, 2.0, 12.0)] + [(pvalues.p_f, (f, 9)) for f in (0.8, 1.5, 9.0)]
+        at, edge = (values(spark, *[lit(f, *v, d) for f, v in made]) for d in (df, df * (1 - 1e-9)))
+        assert at == pytest.approx(edge, rel=1e-8)
+    assert at[1] == pytest.approx(0.04550026389635842, rel=1e-8)
+    assert at[4] == pytest.approx(values(spark, lit(pvalues.p_chi2, 13.5, 9))[0], rel=1e-8)
+
+
+def test_what_does_not_converge_is_null(spark):
+    assert values(spark, lit(pvalues.p_t, 2.0, 1000, terms=4), lit(pvalues.p_chi2, 500.0, 400, terms=4)) == [None, None]

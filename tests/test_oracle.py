@@ -10,10 +10,10 @@ from oracle.derived import session_star
 from orderlens import registry
 
 QUERIES, STATEMENTS = registry.queries(session_star), statements()
-# A forest of 200 trees takes minutes locally; test_risk.py trains a small one instead.
+# A forest of 200 trees takes minutes locally; test_risk.py runs all of these with a small one.
 SLOW = {
     "rf_metrics", "rf_importance", "rf_confusion", "rf_class_report", "rf_roc_points", "best_model", "score_orders",
-    "cv_auc", "cv_auc_forest",
+    "cv_auc", "cv_auc_forest", "rf_metrics_oof",
 }
 
 

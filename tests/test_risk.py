@@ -2,9 +2,13 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from orderlens import registry
+from orderlens.operators import ranks
 from orderlens.plans import risk
 from orderlens.plans import risk_features as features
 from orderlens.plans import risk_model as models
+from orderlens.session import SessionStar
+from orderlens.sources.scratch import materialize
 
 TREES = {"numTrees": 10, "maxDepth": 6}
 SCORES = "model string, is_late int, probability double, prediction int"
@@ -68,9 +72,98 @@ def test_area_equals_the_evaluator(small_star):
     assert models.roc_auc(scored).first()[0] == pytest.approx(expected, abs=1e-9)
 
 
-def test_cross_validation(small_star):
-    row = models.cross_validate(models.RF, risk.train_rows(small_star), folds=2, **TREES).first()
-    assert 0.5 < row["mean_auc"] < 1 and row["sd_auc"] >= 0
+def test_cross_validation_does_not_depend_on_the_layout(small_star):
+    train = risk.train_rows(small_star)
+    found = {
+        tuple(models.cross_validate(models.RF, train.repartition(n), folds=2, at_once=at_once, **TREES).first())
+        for n, at_once in ((2, 1), (7, 2), (16, None))
+    }
+    [(_, mean, sd)] = found
+    assert 0.5 < mean < 1 and sd >= 0
+
+
+@pytest.mark.parametrize("folds", [2, 5, 7])
+def test_folds_have_exact_sizes(spark, folds):
+    table = spark.range(1003).select(
+        F.col("id").cast("string").alias("order_id"), F.lit(1).alias("order_item_id"), (F.col("id") < 3).cast("int").alias("is_late")
+    )
+    found = features.stratified_folds(materialize(table, "rows"), folds)
+    sizes = {(r["is_late"], r["fold"]): r["count"] for r in found.groupBy("is_late", "fold").count().collect()}
+    for label, size in ((0, 1000), (1, 3)):
+        want = [size * (k + 1) // folds - size * k // folds for k in range(folds)]
+        assert [sizes.get((label, k), 0) for k in range(folds)] == want
+
+
+def test_every_forest_query_with_a_small_forest(small_star, monkeypatch):
+    for name, value in TREES.items():
+        monkeypatch.setitem(models.FOREST, name, value)
+    star = SessionStar(small_star.raw)
+    from test_oracle import SLOW
+
+    counts = {name: registry.REPORTS[name](star).count() for name in SLOW}
+    assert counts["score_orders"] == risk.ml_features(star).count() and min(counts.values()) > 0
+    assert counts["cv_auc"] == counts["cv_auc_forest"] == counts["best_model"] == 1
+    held = risk.test_rows(star).count()
+    for name in ("lr_confusion", "rf_confusion"):
+        assert registry.REPORTS[name](star).agg(F.sum("count")).first()[0] == held
+    for name in ("lr_class_report", "rf_class_report"):
+        assert registry.REPORTS[name](star).where("class = 'accuracy'").first()["support"] == held
+
+
+def crowded_scores(spark, rows_=4000):
+    """Nine of ten scores lie within 1e-4."""
+    place = F.when(F.col("id") % 10 > 0, 0.5 + F.floor(F.rand(1) * 700) * 1e-7).otherwise(F.floor(F.rand(2) * 50) / 50)
+    late = (F.rand(3) < 0.3 + F.col("probability") / 3).cast("int")
+    table = spark.range(rows_).select(F.lit("m").alias("model"), place.alias("probability"))
+    return materialize(table.select("model", late.alias("is_late"), "probability", F.lit(0).alias("prediction")), "crowded")
+
+
+@pytest.mark.parametrize("range_rows", [10, 100_000])
+def test_crowded_scores(spark, monkeypatch, range_rows):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    monkeypatch.setattr(ranks, "RANGE_ROWS", range_rows)
+    scored = crowded_scores(spark)
+    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", numBins=0)
+    expected = evaluator.evaluate(scored.withColumn("label", F.col("is_late").cast("double")))
+    assert models.roc_auc(scored).first()[0] == pytest.approx(expected, abs=1e-9)
+    # The curve by hand: steps at falling scores, without points between steps of one direction.
+    steps = {}
+    for r in scored.collect():
+        step = steps.setdefault(r["probability"], [0, 0])
+        step[r["is_late"]] += 1
+    order = sorted(steps, reverse=True)
+    totals = [sum(s[k] for s in steps.values()) for k in (0, 1)]
+    want, done = [(None, 0.0, 0.0)], [0, 0]
+    for i, score in enumerate(order):
+        done = [done[k] + steps[score][k] for k in (0, 1)]
+        after = steps[order[i + 1]] if i + 1 < len(order) else None
+        if after is None or steps[score][0] * after[1] != steps[score][1] * after[0]:
+            want.append((score, done[0] / totals[0], done[1] / totals[1]))
+    points = sorted(models.roc_points(scored).collect(), key=lambda r: -2 if r["threshold"] is None else -r["threshold"])
+    assert [tuple(p) for p in points] == want and len(want) < len(order)
+
+
+def test_ranges_are_small_where_values_crowd(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 50)
+    counts = ranks.value_counts(crowded_scores(spark), "probability")
+    ranged = ranks._in_ranges(counts, "probability")
+    sizes = [r["count"] for r in ranged.groupBy("chunk").count().collect()]
+    assert sum(sizes) == counts.count() and max(sizes) <= 4 * 50 and len(sizes) > 5
+
+
+def test_out_of_fold_rates(spark):
+    """A row's own fold has no part in its rates; a test row sees all training rows."""
+    data = [
+        ("a", 1, "s", "X", 1, 0), ("b", 1, "s", "X", 0, 1), ("c", 1, "s", "Y", 1, 1), ("d", 1, "t", "Y", 1, 0),
+        ("e", 1, "s", "X", 0, None), ("f", 1, "u", "Z", 1, None), ("g", 1, None, None, 0, 1),
+    ]
+    schema = "order_id string, order_item_id int, seller_id string, customer_state string, is_late int, fold int"
+    df = spark.createDataFrame(data, schema).withColumns({c: F.lit(-1.0) for c in ("seller_late_rate", "state_late_rate")})
+    found = {r["order_id"]: (r["seller_late_rate"], r["state_late_rate"]) for r in features.out_of_fold(df, 2).collect()}
+    assert found == {
+        "a": (0.5, 0.0), "b": (1.0, 1.0), "c": (1.0, 1.0), "d": (1 / 3, 1.0), "e": (2 / 3, 0.5), "f": (0.6, 0.6), "g": (1.0, 1.0),
+    }
 
 
 def test_model_survives_saving(spark, small_star, forest, tmp_path):

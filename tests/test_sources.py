@@ -146,17 +146,18 @@ def test_star_from_csv(raw):
         [
             "fact_orders_unique", "dim_customers_unique", "dim_products_unique",
             "dim_sellers_unique", "dim_date_unique", "fact_customer_known",
-            "fact_product_known", "fact_seller_known", "fact_date_known",
+            "fact_product_known", "fact_seller_known", "fact_date_known", "order_one_payment_type",
         ],
         0,
     )
 
 
 def test_key_checks_find_violations(make_star):
-    star = make_star([{"order_id": "a"}, {"order_id": "a"}, {"order_id": "b", "product_id": "gone"}])
+    types = [{"order_id": "c", "order_item_id": i, "payment_type": t} for i, t in ((1, "boleto"), (2, "voucher"))]
+    star = make_star([{"order_id": "a"}, {"order_id": "a"}, {"order_id": "b", "product_id": "gone"}, *types])
     found = {r["check_name"]: r["violations"] for r in check_keys(star).collect()}
     assert found["fact_orders_unique"] == 1 and found["fact_product_known"] == 1
-    assert sum(found.values()) == 2
+    assert found["order_one_payment_type"] == 1 and sum(found.values()) == 3
 
 
 def test_calendar_without_dated_orders(spark, raw):
