@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.plans import extracts as dash
-from orderlens.plans.star import ISO_SECONDS, FACT_COLUMNS, build_fact, build_star, clean, iso_text
+from orderlens.plans.star import FACT_COLUMNS, ISO_SECONDS, Star, build_fact, clean, iso_text
 from orderlens.sources import store
 from orderlens.sources.raw_csv import RawTables, file_name, read_raw
 from orderlens.sources.scratch import new_path
@@ -29,20 +29,53 @@ def raw_csv(raw: RawTables, fact: DataFrame) -> DataFrame:
     return iso_text(_like(build_fact(loaded, clean(loaded)), fact))
 
 
-def stored_star(raw: RawTables) -> DataFrame:
-    """The fact of a star that was stored and read back: its own columns, without the layout's."""
-    star = build_star(raw)
-    path = new_path(star.fact.sparkSession, "stored_star")
-    store.write_star(star, path)
-    back = store.read_star(star.fact.sparkSession, path).fact
+def stored_star(star) -> Star:
+    """The session's star, stored and read back once."""
+
+    def build() -> Star:
+        spark = star.fact.sparkSession
+        path = new_path(spark, "stored_star")
+        store.write_star(Star(star.fact, star.customers, star.products, star.sellers, star.dates), path)
+        return store.read_star(spark, path)
+
+    return star.once("stored_star", build)
+
+
+def stored_fact(star) -> DataFrame:
+    """The fact read back: its own columns, without the layout's."""
+    back = stored_star(star).fact
     if set(back.columns) != set(FACT_COLUMNS):
         raise ValueError(f"stored fact has columns {back.columns}")
     return iso_text(_like(back, star.fact))
 
 
-def exported_extracts(star) -> DataFrame:
-    """The monthly extract, exported with the others as CSV and read back."""
-    spark = star.fact.sparkSession
-    path = new_path(spark, "exported_extracts")
-    store.export_extracts(dash.extracts(star), path)
-    return store.read_extracts(spark, path)["monthly_kpis"]
+def stored_dimension(star, name: str) -> DataFrame:
+    return iso_text(stored_star(star).tables()[name])
+
+
+def star_csv(star, name: str) -> DataFrame:
+    """A table of the star exported as CSV with the others and read back with its types."""
+
+    def build() -> str:
+        path = new_path(star.fact.sparkSession, "star_csv")
+        store.export_star(Star(star.fact, star.customers, star.products, star.sellers, star.dates), path)
+        return path
+
+    original = {
+        "fact_orders": star.fact, "dim_customers": star.customers, "dim_products": star.products,
+        "dim_sellers": star.sellers, "dim_date": star.dates,
+    }[name]
+    reader = star.fact.sparkSession.read.option("header", True).option("escape", '"')
+    return iso_text(_like(reader.csv(f"{star.once('star_csv', build)}/{name}"), original))
+
+
+def exported_extract(star, name: str) -> DataFrame:
+    """One dashboard extract, exported with the others as CSV and read back."""
+
+    def build() -> dict[str, DataFrame]:
+        spark = star.fact.sparkSession
+        path = new_path(spark, "exported_extracts")
+        store.export_extracts(dash.extracts(star), path)
+        return store.read_extracts(spark, path)
+
+    return star.once("exported_extracts", build)[name]

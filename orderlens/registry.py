@@ -36,8 +36,20 @@ FROM_RAW: dict[str, Callable[[SessionStar], DataFrame]] = {
     "dim_sellers": lambda s: plans.build_dim_sellers(s.raw, s.cleaned),
     "dim_date": lambda s: plans.iso_text(plans.build_dim_date(s.cleaned)),
     "csv_round_trip": lambda s: round_trips.raw_csv(s.raw, s.fact),
-    "star_round_trip": lambda s: round_trips.stored_star(s.raw),
-    "extract_round_trip": round_trips.exported_extracts,
+    "star_round_trip": round_trips.stored_fact,
+    **{
+        f"{name}_round_trip": lambda s, name=name: round_trips.stored_dimension(s, name)
+        for name in ("dim_customers", "dim_products", "dim_sellers", "dim_date")
+    },
+    **{
+        f"{name}_csv": lambda s, name=name: round_trips.star_csv(s, name)
+        for name in ("fact_orders", "dim_customers", "dim_products", "dim_sellers", "dim_date")
+    },
+    "extract_round_trip": lambda s: round_trips.exported_extract(s, "monthly_kpis"),
+    **{
+        f"{name}_round_trip": lambda s, name=name: round_trips.exported_extract(s, name)
+        for name in ("category_breakdown", "regional_delivery", "seller_leaderboard")
+    },
 }
 
 # Reports over the (written) tables of any star.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -42,20 +44,76 @@ def with_year_month(fact: DataFrame) -> DataFrame:
     return fact.withColumn("year_month", F.date_format("order_purchase_timestamp", "yyyy-MM"))
 
 
-def write_star(star: Star, directory: str, by_month: bool = True) -> dict[str, int]:
-    """Full refresh of the five tables; the fact is laid out by purchase month."""
+# Names the folder of the version that readers see; the only file of a store that is ever replaced.
+POINTER = "CURRENT"
+KEPT_VERSIONS = 2
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and Hadoop's path class."""
+    jvm = spark._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def current_version(spark: SparkSession, directory: str) -> str | None:
+    """The version of the store that readers see, or nothing before the first one is complete."""
+    try:
+        return spark.read.text(f"{directory}/{POINTER}").first()["value"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _publish(spark: SparkSession, directory: str, version: str) -> None:
+    """Let the pointer name `version`: a new file takes its place in one rename."""
+    jvm = spark._jvm
+    files, path = _files(spark, directory)
+    draft = path(f"{directory}/.{POINTER}-{version}")
+    out = files.create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(draft), files.makeQualified(path(f"{directory}/{POINTER}")), how)
+
+
+def _drop_old(spark: SparkSession, directory: str, kept: int) -> None:
+    """Remove all but the latest complete and incomplete versions; readers may still be in the one before."""
+    files, path = _files(spark, directory)
+    found = sorted(f.getPath().getName() for f in files.listStatus(path(directory)) if f.getPath().getName().startswith("version-"))
+    for name in found[:-kept]:
+        files.delete(path(f"{directory}/{name}"), True)
+
+
+def write_star(star: Star, directory: str, by_month: bool = True, kept: int = KEPT_VERSIONS) -> dict[str, int]:
+    """Full refresh of the five tables; the fact is laid out by purchase month.
+
+    All tables are written to a folder of their own and their counts verified before the pointer
+    names it: a refresh that fails anywhere leaves the former star as it is, and readers see the
+    tables of one refresh only.  The `kept` latest versions stay on disk.
+    """
+    spark = star.fact.sparkSession
+    version = f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     counts = {}
     for name, df in star.tables().items():
+        path = f"{directory}/{version}/{name}"
         if name == "fact_orders" and by_month:
-            counts[name] = write_table(with_year_month(df), f"{directory}/{name}", "year_month")
+            counts[name] = write_table(with_year_month(df), path, "year_month")
         else:
-            counts[name] = write_table(df, f"{directory}/{name}")
+            counts[name] = write_table(df, path)
+    _publish(spark, directory, version)
+    _drop_old(spark, directory, kept)
     return counts
 
 
 def read_star(spark: SparkSession, directory: str) -> Star:
+    """The tables of the current version; without versions, those that lie in the folder itself."""
+    version = current_version(spark, directory)
+    root = f"{directory}/{version}" if version else directory
     fact, customers, products, sellers, dates = (
-        spark.read.parquet(f"{directory}/{name}") for name in STAR_TABLES
+        spark.read.parquet(f"{root}/{name}") for name in STAR_TABLES
     )
     # The month that lays out the stored fact is no column of the star.
     return Star(fact.drop("year_month"), customers, products, sellers, dates)

@@ -187,6 +187,43 @@ def test_store_round_trip(spark, raw, tmp_path, by_month):
     assert store.read_star(spark, str(tmp_path / "store")).fact.count() == 4
 
 
+def test_a_failed_refresh_leaves_the_former_star(spark, raw, tmp_path, monkeypatch):
+    where = str(tmp_path / "store")
+    star = build_star(raw)
+    store.write_star(star, where)
+    first = store.current_version(spark, where)
+    written = store.write_table
+
+    def fails_at_the_fourth(df, path, partition_by=None):
+        rows_written = written(df.limit(1), path, partition_by)
+        if path.endswith("dim_sellers"):
+            raise store.CountMismatch(path)
+        return rows_written
+
+    monkeypatch.setattr(store, "write_table", fails_at_the_fourth)
+    with pytest.raises(store.CountMismatch):
+        store.write_star(star, where)
+    assert store.current_version(spark, where) == first
+    assert store.read_star(spark, where).fact.count() == 4
+    assert store.read_star(spark, where).customers.count() == 2
+    monkeypatch.setattr(store, "write_table", written)
+    before = store.read_star(spark, where)
+    store.write_star(star, where)
+    assert store.current_version(spark, where) > first
+    assert store.read_star(spark, where).sellers.count() == 2
+    # Readers of the version before are not disturbed by the next one, older versions go.
+    store.write_star(star, where)
+    assert before.fact.inputFiles()[0].count(first) == 1
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "store").glob("[!.]*")) == ["CURRENT", "version", "version"]
+
+
+def test_tables_without_a_pointer_are_read(spark, raw, tmp_path):
+    for name, df in build_star(raw).tables().items():
+        store.write_table(df, f"{tmp_path}/{name}")
+    assert store.current_version(spark, str(tmp_path)) is None
+    assert store.read_star(spark, str(tmp_path)).fact.count() == 4
+
+
 def test_stored_star_exports_its_own_columns(spark, raw, tmp_path):
     store.write_star(build_star(raw), f"{tmp_path}/store")
     store.export_star(store.read_star(spark, f"{tmp_path}/store"), f"{tmp_path}/csv")
