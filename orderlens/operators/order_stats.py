@@ -28,6 +28,7 @@ MAX_PASSES = 40
 
 @dataclass
 class _Bracket:
+    order: int
     position: int  # wanted 1-based position in the whole order
     low: Row | None  # inclusive
     high: Row | None  # exclusive
@@ -47,35 +48,97 @@ def order_statistics(
 
     `keys` must identify a row.  Nulls order first.
     """
-    fields = [df.schema[k] for k in keys]
-    keyed = df.select(F.struct(*keys).alias("k"))
-    k = F.col("k")
+    order = F.struct(*keys)
+    wanted = [(0, p, total) for p in positions]
+    found = _located(df, [order], wanted, bracket_rows, sample_rows)
+    return [found[0, p] for p in positions]
+
+
+def exact_medians(
+    df: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    bracket_rows: int = BRACKET_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+) -> dict[str, float]:
+    """Medians of unbounded numeric columns over their non-null values; `keys` identify a row.
+
+    The built-in median keeps every distinct value in one aggregation buffer.  Here the two middle
+    rows of each column are located instead, all columns in the same passes over the rows.  A column
+    without values has no median.
+    """
+    if not columns:
+        return {}
+    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    orders = [
+        F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("value"), *keys)) for c in columns
+    ]
+    wanted = [
+        (i, middle, sizes[i])
+        for i in range(len(columns))
+        if sizes[i]
+        for middle in sorted({(sizes[i] + 1) // 2, sizes[i] // 2 + 1})
+    ]
+    found = _located(df, orders, wanted, bracket_rows, sample_rows)
+    middles: dict[str, list[float]] = {}
+    for (i, _), row in found.items():
+        middles.setdefault(columns[i], []).append(row[0])
+    return {c: sum(values) / len(values) for c, values in middles.items()}
+
+
+def _located(
+    df: DataFrame, orders: Sequence[Column], wanted: Sequence[tuple[int, int, int]], bracket_rows: int, sample_rows: int
+) -> dict[tuple[int, int], Row]:
+    """The rows at the wanted (order, position, rows of that order), by (order, position).
+
+    `orders` are structs of one type that identify a row, or null where a row takes no part.  Every
+    pass samples and counts for all of them at once.
+    """
+    if not wanted:
+        return {}
+    names = [f"k{i}" for i in range(len(orders))]
+    keyed = df.select(*[order.alias(name) for order, name in zip(orders, names, strict=True)])
+    fields = keyed.schema["k0"].dataType.fields
 
     def literal(row: Row) -> Column:
         return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
 
     def inside(b: _Bracket) -> Column:
-        test = F.lit(True)
+        k = F.col(names[b.order])
+        test = k.isNotNull()
         if b.low is not None:
             test = test & (k >= literal(b.low))
         if b.high is not None:
             test = test & (k < literal(b.high))
         return test
 
-    brackets = [_Bracket(p, None, None, 0, total) for p in positions]
+    def span(b: _Bracket) -> tuple:
+        return (b.order, b.low, b.high, b.below)
+
+    def members(brackets: list[_Bracket], chance: Column | None = None) -> DataFrame:
+        """(span, k) of the rows in each of the brackets, or of some of them."""
+        rows = [
+            F.when(inside(b) if chance is None else inside(b) & (chance < sample_rows / b.size),
+                   F.struct(F.lit(i).alias("span"), F.col(names[b.order]).alias("k")))
+            for i, b in enumerate(brackets)
+        ]
+        source = keyed if chance is None else keyed.withColumn("chance", chance)
+        return source.select(F.inline(F.array_compact(F.array(*rows))))
+
+    brackets = [_Bracket(order, p, None, None, 0, total) for order, p, total in wanted]
     for attempt in range(MAX_PASSES):
-        wide = [b for b in brackets if b.size > bracket_rows]
+        wide = {span(b): b for b in brackets if b.size > bracket_rows}
         if not wide:
             break
+        spans = list(wide)
+        drawn = members(list(wide.values()), F.rand(attempt)).orderBy("span", "k").collect()
         samples: dict[tuple, list[Row]] = {}
+        for r in drawn:
+            samples.setdefault(spans[r["span"]], []).append(r["k"])
         pivots: list[tuple[_Bracket, Row, Row]] = []
-        for b in wide:
-            span = (b.low, b.high)
-            if span not in samples:
-                drawn = keyed.where(inside(b)).sample(min(1.0, sample_rows / b.size), seed=attempt)
-                samples[span] = [r["k"] for r in drawn.orderBy("k").collect()]
-            sample = samples[span]
-            if not sample:
+        for b in brackets:
+            sample = samples.get(span(b))
+            if b.size <= bracket_rows or not sample:
                 continue
             middle = (b.position - b.below) * len(sample) // b.size
             reach = 2 * math.isqrt(len(sample)) + 1
@@ -86,7 +149,7 @@ def order_statistics(
             continue
         counts = keyed.agg(
             *[
-                F.count_if(inside(b) & (k < literal(cut))).alias(f"c{i}_{j}")
+                F.count_if(inside(b) & (F.col(names[b.order]) < literal(cut))).alias(f"c{i}_{j}")
                 for i, (b, low, high) in enumerate(pivots)
                 for j, cut in enumerate((low, high))
             ]
@@ -104,24 +167,16 @@ def order_statistics(
 
     if any(b.size > bracket_rows for b in brackets):
         raise RuntimeError(f"positions not narrowed to {bracket_rows} rows in {MAX_PASSES} passes")
-    spans = list(dict.fromkeys((b.low, b.high, b.below) for b in brackets))
-    members = [
-        F.when(inside(_Bracket(0, low, high, below, 0)), F.lit(i))
-        for i, (low, high, below) in enumerate(spans)
-    ]
-    numbered = (
-        keyed.select("k", F.explode(F.array_compact(F.array(*members))).alias("span"))
-        .withColumn("at", F.row_number().over(W.partitionBy("span").orderBy("k")))
-    )
-    wanted = {}
-    for b in brackets:
-        wanted[b.position] = (spans.index((b.low, b.high, b.below)), b.position - b.below)
+    last = {span(b): b for b in brackets}
+    spans = list(last)
+    numbered = members(list(last.values())).withColumn("at", F.row_number().over(W.partitionBy("span").orderBy("k")))
+    places = {(b.order, b.position): (spans.index(span(b)), b.position - b.below) for b in brackets}
     test = reduce(
         lambda x, y: x | y,
-        [(F.col("span") == s) & (F.col("at") == a) for s, a in wanted.values()],
+        [(F.col("span") == s) & (F.col("at") == a) for s, a in places.values()],
     )
     found = {(r["span"], r["at"]): r["k"] for r in numbered.where(test).collect()}
-    return [found[wanted[p]] for p in positions]
+    return {key: found[place] for key, place in places.items()}
 
 
 def tile_starts(total: int, tiles: int) -> list[int]:
@@ -160,17 +215,3 @@ def with_tiles(
             tile = tile + (F.struct(*keys) >= bound).cast("int")
         columns[column] = tile
     return stored.withColumns(columns)
-
-def exact_median(df: DataFrame, value: str, keys: list[str]) -> float | None:
-    """Median of an unbounded numeric column; `keys` identify a row.
-
-    The built-in median keeps every distinct value in one aggregation buffer.  Here the two
-    middle rows are located instead.
-    """
-    present = df.where(F.col(value).isNotNull()).select(value, *keys)
-    total = present.count()
-    if total == 0:
-        return None
-    middle = sorted({(total + 1) // 2, total // 2 + 1})
-    found = order_statistics(present, [value, *keys], middle, total)
-    return sum(float(row[0]) for row in found) / len(found)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.draws import seeded_draw
-from orderlens.operators.order_stats import exact_median, order_statistics
+from orderlens.operators.order_stats import exact_medians, order_statistics
 from orderlens.operators.skew import split_join
 from orderlens.sources.scratch import materialize
 
@@ -116,10 +116,10 @@ def engineer(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
 def impute(features: DataFrame) -> DataFrame:
     """Numeric nulls become the exact median of their column over all rows.
 
-    One pass finds the columns that have nulls; medians are located for those only.
+    One pass finds the columns that have nulls; medians are located for those only, all together.
     """
     nulls = features.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in NUMERIC]).first()
-    medians = {c: exact_median(features, c, KEYS) for c in NUMERIC if nulls[c]}
+    medians = exact_medians(features, [c for c in NUMERIC if nulls[c]], KEYS)
     filled = {
         c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c))) for c in NUMERIC
     }

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import order_stats
 from orderlens.operators.order_stats import (
-    exact_median,
+    exact_medians,
     order_statistics,
     tile_starts,
     with_tiles,
 )
 from orderlens.operators.ranks import mid_ranks, rank_sums, tie_term, value_counts
+from orderlens.sources.scratch import materialize
 from orderlens.operators.skew import hot_keys, number_within, split_join
 
 
@@ -57,10 +58,30 @@ def test_nulls_order_first(spark):
     assert [tuple(r) for r in found] == [(None, "a"), (1, "c"), (2, "b")]
 
 
-@pytest.mark.parametrize("values, median", [([3, 1, 2], 2.0), ([4, 1, None, 2, 3], 2.5), ([], None)])
-def test_exact_median(spark, values, median):
-    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, id int")
-    assert exact_median(df, "v", ["id"]) == median
+def test_exact_medians(spark):
+    data = [(3, None, 1.5, None), (1, 4.0, None, None), (2, 1.0, 2.5, None), (9, 3.0, 0.5, None)]
+    rows_ = [(*v, i) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows_, "a int, b double, c double, d double, id int")
+    assert exact_medians(df, ["a", "b", "c", "d"], ["id"]) == {"a": 2.5, "b": 3.0, "c": 1.5}
+    assert exact_medians(df, [], ["id"]) == {}
+
+
+def test_medians_of_many_columns_share_their_passes(spark):
+    """Ties, nulls and brackets that must be narrowed; more columns cost no more jobs."""
+    columns = [f"c{i}" for i in range(6)]
+    value = lambda i: F.when(F.rand(i) < 0.9, F.floor(F.randn(i + 50) * 10 ** (i % 3)))
+    df = spark.range(4000).select("id", *[value(i).alias(c) for i, c in enumerate(columns)])
+    df = materialize(df, "values")
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    jobs = {}
+    for n in (1, 6):
+        context.setJobGroup(f"medians of {n}", "")
+        found = exact_medians(df, columns[:n], ["id"], bracket_rows=20, sample_rows=200)
+        jobs[n] = len(tracker.getJobIdsForGroup(f"medians of {n}"))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        want = df.agg(*[F.median(c).alias(c) for c in columns[:n]]).first().asDict()
+        assert found == want
+    assert jobs[6] <= jobs[1] + 8  # a pass or two more, where a column needs it
 
 
 def test_mid_ranks_of_ties(spark):
