@@ -7,10 +7,12 @@ found without comparing all pairs and without losing any:
    on), a few min-hashes, and counts by cell that tell frequent shingles from rare ones.
 2. Nodes with a common min-hash are compared with the smallest node of that group only.  This links
    most groups of near copies with one comparison each; their components are known from here on.
-3. Set elements are ordered: rare ones first, then by hash.  Sets of the required overlap share at
-   least T of their first n - ceil(bound * n) + T elements, so only these are posted.  Shingles whose
-   postings all lie in one component cannot add anything; a pre-aggregated minimum and maximum tells
-   them, so a hot group's lists are never gathered.
+3. Set elements are ordered: rare ones first, then by hash.  A set of n shares at least bound * n
+   elements with a smaller one it links to, and 2 * bound / (1 + bound) * n with a larger one.  So the
+   first n - ceil(bound * n) + T elements of the larger set and the first n - ceil(2 * bound /
+   (1 + bound) * n) + T of the smaller one have T in common: the former are searched for, the latter
+   are on the lists.  Shingles whose postings all lie in one component cannot add anything; a
+   pre-aggregated minimum and maximum tells them, so a hot group's lists are never gathered.
 4. What is left are inverted lists, cut into blocks of nodes.  A list goes once to each pair of a
    block of searching nodes and a block of candidates that it touches, and never whole to every node
    on it; all lists of a candidate meet there.  For each searching node DivideSkip finds the
@@ -50,6 +52,7 @@ WORD_CHARS = 6  # a guess, for the number of cells only
 CELLS = 2  # for each shingle, within the bounds of `cells`
 CROSSING_CELLS = 16  # for each shingle that meets several components
 NODE_BLOCK = 256  # nodes of a block
+BROADCAST_IDS = 2_000_000  # 16 MB
 
 
 class Bound(NamedTuple):
@@ -69,8 +72,14 @@ class Bound(NamedTuple):
         return np.minimum(OCCURRENCES, self.least(n))
 
     def prefix(self, n):
+        """How many first elements of a set of n are searched for in smaller sets."""
         return np.minimum(n, n - self.least(n) + self.occurrences(n))
 
+    def indexed(self, n):
+        """How many of them larger sets must be able to find: with those it shares more."""
+        common = -(-2 * self.top * n // (self.bottom + self.top))
+        return np.minimum(n, n - common + self.occurrences(n))
+
 
 # ---- sets ---------------------------------------------------------------------------------------
 
@@ -191,12 +200,23 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, bound: Bound) -> Data
                 kept = part.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty("text"))
-    first = pairs.join(text.withColumnsRenamed({"_id": "a", "text": "left"}), "a")
-    both = first.join(text.withColumnsRenamed({"_id": "b", "text": "right"}), "b").select("a", "b", "left", "right")
+    left, right = (_texts(docs, pairs.select(c)).withColumnRenamed("text", name) for c, name in (("a", "left"), ("b", "right")))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return materialize(both.mapInArrow(work, "a long, b long").distinct(), "links")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the documents in a column of ids, under its name.
+
+    Few ids are broadcast, so that other texts are left out where they are read; beyond
+    `BROADCAST_IDS` all texts go into the join that follows, which leaves them out as well.
+    """
+    [name] = ids.columns
+    text = docs.select(F.col("doc_id").cast("long").alias(name), text_or_empty("text"))
+    known = ids.distinct()
+    return text.join(F.broadcast(known), name, "left_semi") if known.count() <= BROADCAST_IDS else text
+
+
 def _near_minhash(nodes: DataFrame, bound: Bound) -> DataFrame:
     """Pairs of each node with the smallest node that shares one of its min-hashes."""
     spread = nodes.select("node", "n", F.posexplode("hashes").alias("k", "hash"))
@@ -280,11 +300,10 @@ def _heads(docs: DataFrame, nodes: DataFrame, flags: np.ndarray, bits: int, word
     return materialize(heads.join(nodes, "set_key").select("node", "root", "n", "head"), "heads")
 
 
-def _lists(heads: DataFrame) -> tuple[DataFrame, int]:
+def _lists(heads: DataFrame, bound: Bound) -> DataFrame:
     """Inverted lists of the shingles that meet several components, cut into blocks of nodes.
 
-    Rows: shingle, block, nodes, roots, sizes (arrays in ascending order of (size, node)).  Also the
-    number of blocks.
+    Rows: shingle, block, nodes, roots, sizes, listed (arrays in ascending order of (size, node)).
     """
 
     def post(columns):
@@ -294,50 +313,55 @@ def _lists(heads: DataFrame) -> tuple[DataFrame, int]:
                 for start, end in ct.groups(counts.tolist()):
                     part = batch.slice(start, end - start)
                     flat = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
-                    take = pa.array(np.repeat(np.arange(part.num_rows), counts[start:end]))
-                    yield from columns(flat, part, take)
+                    size = counts[start:end]
+                    take = np.repeat(np.arange(part.num_rows), size)
+                    place = ct.ranges(np.zeros(len(size), np.int64), size)
+                    listed = place < bound.indexed(part.column(2).to_numpy(zero_copy_only=False))[take]
+                    yield from columns(flat, part, pa.array(take), listed)
 
         return work
 
-    def narrow(flat, part, take):
-        yield pa.RecordBatch.from_arrays([pa.array(flat), part.column(1).take(take)], names=["shingle", "root"])
+    def narrow(flat, part, take, listed):
+        yield pa.RecordBatch.from_arrays([pa.array(flat), part.column(1).take(take), pa.array(listed)], names=["shingle", "root", "listed"])
 
-    # A shuffle of (shingle, root) alone: min, max and count are made behind it.
-    met = heads.mapInArrow(post(narrow), "shingle long, root long").repartition(F.col("shingle"))
-    crossing = materialize(
-        met.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle"),
-        "crossing",
-    )
+    # A shuffle of (shingle, root, listed) alone: minimum and maximum are made behind it.
+    met = heads.mapInArrow(post(narrow), "shingle long, root long, listed boolean").repartition(F.col("shingle"))
+    useful = F.min("root") < F.max("root")
+    crossing = met.groupBy("shingle").agg((useful & F.bool_or("listed")).alias("useful")).where("useful").select("shingle")
+    crossing = materialize(crossing, "crossing")
     bits = cells.bits_for(crossing.count(), CROSSING_CELLS)
     flags = heads.sparkSession.sparkContext.broadcast(cells.present(crossing, bits))
 
-    def likely(flat, part, take):
+    def likely(flat, part, take, listed):
         kept = np.flatnonzero(cells.contains(flags.value, flat.view(np.uint64), bits))
         take = take.take(pa.array(kept))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(flat[kept]), *(part.column(k).take(take) for k in range(3))], names=["shingle", "node", "root", "n"]
+            [pa.array(flat[kept]), *(part.column(k).take(take) for k in range(3)), pa.array(listed[kept])],
+            names=["shingle", "node", "root", "n", "listed"],
         )
 
     # Most postings go before anything is shuffled; the join makes it exact.
-    posted = heads.mapInArrow(post(likely), "shingle long, node long, root long, n long")
+    posted = heads.mapInArrow(post(likely), "shingle long, node long, root long, n long, listed boolean")
     kept = materialize(posted.join(crossing, "shingle"), "postings")
     blocks = max(1, -(-kept.select("node").distinct().count() // NODE_BLOCK))
-    member = F.struct("n", "node", "root")
+    member = F.struct("n", "node", "root", "listed")
     lists = kept.groupBy("shingle", _block_of("node", blocks).alias("block")).agg(F.array_sort(F.collect_set(member)).alias("of"))
     arrays = [F.col(f"of.{field}").alias(name) for field, name in _ARRAYS]
-    return materialize(lists.select("shingle", "block", *arrays), "inverted_lists"), blocks
+    return materialize(lists.select("shingle", "block", *arrays), "inverted_lists")
 
 
-_ARRAYS = (("node", "nodes"), ("root", "roots"), ("n", "sizes"))
+_ARRAYS = (("node", "nodes"), ("root", "roots"), ("n", "sizes"), ("listed", "listed"))
 
 
 def _candidates(lists: DataFrame, bound: Bound) -> DataFrame:
     """For each node the smaller ones of other components that share T rare shingles with it, by
     blocks: `qb` and `cb` are those of the node and of its candidates."""
-    sides = [
-        lists.select("shingle", F.col("block").alias(block), *[F.col(name).alias(f"{block}_{name}") for _, name in _ARRAYS])
-        for block in ("qb", "cb")
-    ]
+    fields = [name for _, name in _ARRAYS[:3]]
+    of = F.arrays_zip(*[name for _, name in _ARRAYS])
+    only = F.filter(of, lambda m: m["listed"])
+    searching = lists.select("shingle", F.col("block").alias("qb"), *[F.col(name).alias(f"qb_{name}") for name in fields])
+    listed = lists.select("shingle", F.col("block").alias("cb"), only.alias("on")).where(F.size("on") > 0)
+    listed = listed.select("shingle", "cb", *[F.col(f"on.{name}").alias(f"cb_{name}") for name in fields])
     ends = lambda column: (F.get(column, F.lit(0)), F.element_at(column, F.lit(-1)))
     (q_low, q_high), (c_low, c_high) = ends(F.col("qb_sizes")), ends(F.col("cb_sizes"))
     roots = F.concat("qb_roots", "cb_roots")
@@ -346,7 +370,7 @@ def _candidates(lists: DataFrame, bound: Bound) -> DataFrame:
     )
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
-        sides[0].join(sides[1], "shingle").where(useful).drop("shingle")
+        searching.join(listed, "shingle").where(useful).drop("shingle")
         .repartition(parts, "qb", "cb").sortWithinPartitions("qb", "cb")
     )
     schema = pa.schema([("qb", pa.int32()), ("cb", pa.int32()), ("node", pa.int64()), ("candidates", pa.list_(pa.int64()))])
@@ -359,7 +383,7 @@ def _candidates(lists: DataFrame, bound: Bound) -> DataFrame:
                 values = [[qb] * size, [cb] * size, [q for q, _ in found], [c for _, c in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
-    order = ["qb", "cb", *(f"{block}_{name}" for block in ("qb", "cb") for _, name in _ARRAYS)]
+    order = ["qb", "cb", *(f"{block}_{name}" for block in ("qb", "cb") for name in fields)]
     return materialize(met.select(*order).mapInArrow(work, "qb int, cb int, node long, candidates array<long>"), "candidates")
 
 
@@ -414,11 +438,10 @@ def _linked_in_blocks(candidates: DataFrame, docs: DataFrame, words: int, bound:
         .agg(F.array_distinct(F.flatten(F.collect_list("candidates"))).alias("nodes"))
         .select("qb", "cb", F.explode("nodes").alias("node"), F.lit(None).cast("array<long>").alias("candidates"))
     )
-    text = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = materialize(candidates.unionByName(sought), "compared_nodes")
     rows = (
-        wanted.join(text, "node")
+        wanted.join(_texts(docs, wanted.select("node")), "node")
         .select("qb", "cb", "node", "candidates", "text")
         .repartition(parts, "qb", "cb")
         .sortWithinPartitions("qb", "cb")
@@ -507,7 +530,7 @@ def joined(docs: DataFrame, words: int = 5, bound: Bound = Bound()) -> DataFrame
     shingles = rows.agg(F.sum("n")).first()[0] or 0
     messages = described.where("part is not null").select("part", "packed")
     flags = cells.frequent(messages, bits, _frequent_from(shingles, bits))
-    lists, _ = _lists(_heads(docs, materialize(known, "known_roots"), flags, bits, words, bound))
+    lists = _lists(_heads(docs, materialize(known, "known_roots"), flags, bits, words, bound), bound)
     links = near.unionByName(_linked_in_blocks(_candidates(lists, bound), docs, words, bound))
     roots = nodes.select("set_key", "node").join(components(links), "node", "left")
     roots = materialize(roots.select("set_key", F.coalesce("root", "node").alias("root")), "set_roots")

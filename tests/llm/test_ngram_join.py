@@ -65,6 +65,7 @@ def test_components_are_exact(spark, docs, monkeypatch, words, top, minhash):  #
     if not minhash:  # the search alone finds all links
         monkeypatch.setattr(ngram_join, "_near_minhash", lambda nodes, bound: spark.createDataFrame([], "a long, b long"))
         monkeypatch.setattr(ngram_join, "NODE_BLOCK", 3)
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     rows = near_copies()
     got = ngram_join.joined(docs(*rows), words, Bound(top, 100)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_hand(rows, words, top)
