@@ -91,21 +91,43 @@ def piece_starts(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~text_start[1:n])
     start[last] = True
     start[last[codes[last] == 0x20] + 1] = False
+    _join_endings(codes, kind, start, text_start)
+    return start
+
+
+def _join_endings(codes: np.ndarray, kind: np.ndarray, start: np.ndarray, text_start: np.ndarray) -> None:
+    """An apostrophe that starts a piece and one of its endings become a piece; changes `start`."""
+    n = len(codes)
     quote = np.flatnonzero((codes[:-1] == 0x27) & start[:-1] & (kind[1:] == LETTER) & ~text_start[1:n])
-    if len(quote):
-        padded = np.concatenate([codes, np.zeros(3, np.uint32)])
-        one, two = padded[quote + 1], padded[quote + 2]
-        inside = ~text_start[quote + 2]
-        long = inside & (
-            ((one == ord("r")) & (two == ord("e")))
-            | ((one == ord("v")) & (two == ord("e")))
-            | ((one == ord("l")) & (two == ord("l")))
-        )
-        short = np.isin(one, [ord(c) for c in "stmd"])
-        for found, width in ((quote[short], 2), (quote[long], 3)):
-            start[found + 1] = False
-            after = found + width
-            start[after[after < n]] = True
+    if not len(quote):
+        return
+    padded = np.concatenate([codes, np.zeros(3, np.uint32)])
+    one, two = padded[quote + 1], padded[quote + 2]
+    inside = ~text_start[quote + 2]
+    long = inside & (
+        ((one == ord("r")) & (two == ord("e")))
+        | ((one == ord("v")) & (two == ord("e")))
+        | ((one == ord("l")) & (two == ord("l")))
+    )
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    for found, width in ((quote[short], 2), (quote[long], 3)):
+        start[found + 1] = False
+        after = found + width
+        start[after[after < n]] = True
+
+
+def word_starts(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The same for vocabularies whose words end without a space: runs of letters and of other signs
+    are pieces, every number sign is one, and white space, in pieces of its own, has no ids."""
+    n = len(codes)
+    kind = character_classes()[codes]
+    start = kind == NUMBER
+    start[1:] |= kind[1:] != kind[:-1]
+    text_start = np.zeros(n + 3, bool)
+    text_start[firsts[firsts < n]] = True
+    text_start[n:] = True
+    start |= text_start[:n]
+    _join_endings(codes, kind, start, text_start)
     return start
 
 
@@ -150,6 +172,11 @@ class Vocabulary:
             np.array(x, np.int64)
             for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in merges), strict=True)
         )
+        # Some vocabularies mark the last symbol of a piece.
+        end = data["model"].get("end_of_word_suffix") or ""
+        self.last_id = np.zeros(256, np.int64)
+        for c, b in byte_of.items():
+            self.last_id[b] = vocab[c + end]
         self.no_rank = len(left)
         key = (left << 32) | right
         self.pairs = {int(k): (i, int(m)) for i, (k, m) in enumerate(zip(key, made, strict=True))}
@@ -337,12 +364,14 @@ def encode_pieces(
             grid[np.repeat(np.arange(len(part)), lengths), column] = vocabulary.byte_id[
                 flat[ct.ranges(starts[part], lengths)]
             ]
+            grid[np.arange(len(part)), lengths - 1] = vocabulary.last_id[flat[starts[part] + lengths - 1]]
             ids, alive = merge_rows(grid, lengths, vocabulary)
             counts[part] = alive.sum(1)
             parts.append((part, ids[alive]))
         low, width = width, width * 2
     for i in np.flatnonzero(sizes > ROW_WIDTH):
         symbols = vocabulary.byte_id[flat[starts[i] : starts[i] + sizes[i]]].tolist()
+        symbols[-1] = int(vocabulary.last_id[flat[starts[i] + sizes[i] - 1]])
         merged = np.array(merge_one(symbols, vocabulary), np.int64)
         counts[i] = len(merged)
         parts.append((np.array([i]), merged))
@@ -363,10 +392,11 @@ class Encoder:
     that share a hash the first one is remembered and the others are encoded each time.
     """
 
-    def __init__(self, encode: PieceEncoder, special: dict[str, int], hashes=ct.slice_hashes):
+    def __init__(self, encode: PieceEncoder, special: dict[str, int], hashes=ct.slice_hashes, cut=piece_starts):
         self.encode = encode
         self.special = special
         self.hashes = hashes
+        self.cut = cut
         self.forget()
 
     def forget(self) -> None:
@@ -410,7 +440,7 @@ class Encoder:
         codes = ct.codes_of(whole)
         text_sizes = np.array([len(t) for t in texts], np.int64)
         firsts = np.cumsum(text_sizes) - text_sizes
-        starts = np.flatnonzero(piece_starts(codes, firsts))
+        starts = np.flatnonzero(self.cut(codes, firsts))
         ends = np.append(starts[1:], len(codes))
         sizes = ends - starts
         hashes = self.hashes(codes, starts, ends)

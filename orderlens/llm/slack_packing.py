@@ -20,7 +20,6 @@ from bisect import bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,29 +30,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from orderlens.llm import bpe
 from orderlens.llm.bpe import small_batches, text_or_empty
 
 TOKENS = 2048
 POOL = 4096  # waiting pieces of a task
-CACHE_WORDS = 200_000  # remembered words of a task, none longer than CACHED_LENGTH
-CACHED_LENGTH = 64
-PART_CHARS = 300_000
-
-_BREAK = re.compile("[\t\n\r ]")
-# Fixed value: how the vocabulary cuts a lower-case ASCII word.
-_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
+# Beyond the Latin blocks, and the one letter there whose lower case is two characters.
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 
 # ---- ids ----------------------------------------------------------------------------------------
 
 
 class WordEncoder:
-    """Ids of whole texts by the `tokenizers` library, asked once for each word.
+    """Ids of whole texts under a vocabulary of lower-case words.
 
-    The vocabulary drops white space between words and treats each word alone, so a text has the ids
-    of its parts between spaces, tabs and line ends, one after the other.  Words met lately are
-    remembered, and so are the runs of letters and signs that plain ASCII words are made of, since
-    most new words are known ones with other signs around them.
+    Texts of Latin letters, digits and signs are cut into words here and merged by the trees of
+    `bpe`, new words only; their lower case and composed forms are character by character.  Any other
+    text goes to the `tokenizers` library as it is, which all ids are tested against.
     """
 
     def __init__(self, path: str):
@@ -63,63 +57,28 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        parts = [self._part(part) for part in _parts(text)]
-        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
-
-    def _part(self, part: str) -> np.ndarray:
-        words = part.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.words
-        try:
-            return _flat(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        long = {}
-        for word, ids in self._encoded([w for w in set(words) if w not in known]):
-            (known if len(word) <= CACHED_LENGTH else long)[word] = ids
-        if not long:
-            return _flat(map(known.__getitem__, words))
-        return _flat(long[w] if w in long else known[w] for w in words)
-
-    def _encoded(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        plain = {w: _RUNS.findall(w.lower()) for w in words if self._is_plain(w)}
-        other = [w for w in words if w not in plain]
-        known = self.runs
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        known.update(self._asked([r for r in {*chain.from_iterable(plain.values())} if r not in known]))
-        for word, runs in plain.items():
-            yield word, tuple(chain.from_iterable(map(known.__getitem__, runs)))
-        yield from self._asked(other)
-
-    def _is_plain(self, word: str) -> bool:
-        return word.isascii() and len(word) <= CACHED_LENGTH and not any(s in word for s in self.special)
-
-    def _asked(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            yield word, tuple(e.ids)
-
-
-def _flat(ids: Iterable[tuple[int, ...]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(ids), np.uint32)
-
-
-def _parts(text: str) -> Iterator[str]:
-    """The text in parts of some `PART_CHARS` characters, cut between words."""
-    done = 0
-    while len(text) - done > PART_CHARS:
-        cut = _BREAK.search(text, done + PART_CHARS)
-        if not cut:
-            break
-        yield text[done : cut.start()]
-        done = cut.end()
-    yield text[done:]
+        vocabulary = bpe.Vocabulary(path)
+        self.special = list(vocabulary.special)
+
+        def encode(flat, starts, sizes):
+            space = (flat[starts] == 0x20) | ((flat[starts] >= 0x09) & (flat[starts] <= 0x0D))
+            # The two white-space characters of two bytes.
+            two = sizes > 1
+            second = flat[starts + two]
+            space |= two & (flat[starts] == 0xC2) & ((second == 0x85) | (second == 0xA0))
+            return bpe.encode_pieces(flat, starts, np.where(space, 0, sizes), vocabulary)
+
+        self.latin = bpe.Encoder(encode, {}, cut=bpe.word_starts)
+
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        latin = [not _OTHER.search(t) and not any(s in t for s in self.special) for t in texts]
+        known = self.latin.texts([t.lower() for t, is_latin in zip(texts, latin, strict=True) if is_latin])
+        for text, is_latin in zip(texts, latin, strict=True):
+            yield next(known) if is_latin else self._asked(text)
+
+    def _asked(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(2)
@@ -255,8 +214,8 @@ def packed(
         end = np.array([end_id], np.uint32)
         for batch in batches:
             for keys, texts in small_batches(batch):
-                for key, one in zip(keys, texts, strict=True):
-                    ids = np.concatenate([encoder.ids(one), end])
+                for key, ids in zip(keys, encoder.texts(texts), strict=True):
+                    ids = np.concatenate([ids, end])
                     for number, start in enumerate(range(0, len(ids), tokens)):
                         part = ids[start : start + tokens]
                         yield Piece(key.as_py(), number, start, len(part), project(part))

@@ -7,6 +7,7 @@ import pytest
 from llm_cases import SMALL, docs  # noqa: F401
 from tokenizers import Tokenizer
 
+from orderlens.llm import bpe
 from orderlens.llm import slack_packing as sp
 from orderlens.llm.queries import QUERIES, WORD_VOCABULARY
 
@@ -16,22 +17,34 @@ def library():
     return Tokenizer.from_file(WORD_VOCABULARY)
 
 
-def test_ids_are_the_librarys(library):
+OTHERS = "ab's'tT'll 've're\n\n\t  d é中1２Ⅷ.,!! 　\x0b\x01\x1c\x85😀éÉΣσ́ͅ<|endoftext|>\U00016130"
+LATIN = "ab's'tT'll 've're 'd'm''sß\n\t\x0b\x0c\r\x1c\x85\xa0\xad 12²½ªº.,!!<|>ÉÀÿ×÷ĀŁŉŸſµ\x01\x7f\x80"
+
+
+@pytest.mark.parametrize("signs", [OTHERS, LATIN, LATIN + "İ"])
+def test_ids_are_the_librarys(library, signs):
     fuzz = random.Random(2)
-    signs = "ab's'tT'll 've're\n\n\t  d é中1２Ⅷ.,!! 　\x0b\x1c\x85😀éÉΣσ́ͅ<|endoftext|>\U00016130"
     texts = ["".join(fuzz.choice(signs) for _ in range(fuzz.randint(0, 60))) for _ in range(3000)]
     texts += ["", " ", "<|endoftext|>", "á ́ Σ ΑΣ\nΑΣ", "a" * 5000 + " " + "é" * 300, "x" * 200 + "\n" + "don't" * 30]
     encoder = sp.WordEncoder(WORD_VOCABULARY)
-    for text in texts:
-        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    for some in (texts, texts[::-1]):
+        for text, ids in zip(some, encoder.texts(some), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_latin_character(library):
+    texts = [f"a{chr(i)}b {chr(i)} {chr(i)}{chr(i)}'s" for i in range(0x180)]
+    for text, ids in zip(texts, sp.WordEncoder(WORD_VOCABULARY).texts(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_parts_and_forgetting_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(sp, "PART_CHARS", 5)
-    monkeypatch.setattr(sp, "CACHE_WORDS", 3)
-    monkeypatch.setattr(sp, "CACHED_LENGTH", 4)
+    monkeypatch.setattr(bpe.safe_chunks, "__defaults__", (7,))
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     text = "It's 12 words,\tor so;\n\nécole ecole 's " * 20
-    assert sp.WordEncoder(WORD_VOCABULARY).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    encoder = sp.WordEncoder(WORD_VOCABULARY)
+    for _ in range(3):
+        assert next(encoder.texts([text])).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_fullest_choice_equals_all_choices():
