@@ -13,7 +13,7 @@ from orderlens.plans import risk_model as models
 from orderlens.plans.star import build_star
 from orderlens.session import build_session
 from orderlens.sources import store
-from orderlens.sources.raw_csv import read_raw
+from orderlens.sources.raw_csv import quarantine, read_raw
 
 # Rows of a report that are printed; files hold all.
 SHOWN = 100
@@ -21,6 +21,8 @@ SHOWN = 100
 
 def _etl(spark: SparkSession, args: argparse.Namespace) -> None:
     raw = read_raw(spark, args.raw, args.prefix)
+    if args.quarantine:
+        store.write_results(quarantine(raw), args.quarantine)
     for name, rows in store.write_star(build_star(raw), args.store).items():
         print(f"{name}: {rows} rows")
     star = store.read_star(spark, args.store)
@@ -83,7 +85,7 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument(f"--{option}", required=required)
         return sub
 
-    etl = command("etl", _etl, raw=True, store=True, csv=False, extracts=False)
+    etl = command("etl", _etl, raw=True, store=True, csv=False, extracts=False, quarantine=False)
     etl.add_argument("--prefix", default="", help="text before each raw file name")
     report = command("report", _report, store=True, out=False)
     report.add_argument("names", nargs="+", choices=sorted(registry.REPORTS), metavar="name")

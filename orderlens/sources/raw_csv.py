@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,40 +83,59 @@ class RawTables:
     sellers: DataFrame
     category_translation: DataFrame
     geolocation: DataFrame | None = None
+    # Records of files that do not fit their table, by table: (record, reason).
+    malformed: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def frames(self) -> dict[str, DataFrame]:
         named = {name: getattr(self, name) for name in RAW_TABLES}
         return {name: df for name, df in named.items() if df is not None}
 
 
-def _read(spark: SparkSession, path: str, declared: str, multi_line: bool) -> DataFrame:
-    """Types are applied by column name: the header line decides the position of each.
+def _read(spark: SparkSession, path: str, declared: str, multi_line: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The table at `path`, and its malformed records as (record, reason).
 
-    Every file of a folder must have the same header; one that differs ends the job with an error
-    that names it, since its values would be read into wrong columns.
+    Types are applied by column name: the header line decides the position of each.  Every file of a
+    folder must have the same header; one that differs ends the job with an error that names it,
+    since its values would be read into wrong columns.  A record with too few or too many fields, or
+    with something else where a number belongs, stays in the table with nulls there.
     """
     reader = spark.read.option("header", True).option("escape", '"')
     header = reader.csv(path).columns
     if not declared:
-        return reader.csv(path)
+        return reader.csv(path), None
     wanted = dict(part.split() for part in declared.split(", "))
     absent = [c for c in wanted if c not in header]
     if absent:
         raise ValueError(f"{path} lacks columns: {', '.join(absent)}")
-    schema = T.StructType(
-        [T.StructField(c, _TYPES[wanted.get(c, "string")]) for c in header]
-    )
-    df = reader.schema(schema).option("multiLine", multi_line).option("enforceSchema", False).csv(path)
-
-    def clean(name: str):
-        c = F.col(name)
-        if wanted[name] == "double":
-            return F.when(~F.isnan(c), c).alias(name)
+    whole = next(name for name in (f"_record{i}" for i in range(len(header) + 1)) if name not in header)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, whole]])
+    text = (
+        reader.schema(schema).option("columnNameOfCorruptRecord", whole)
+        .option("multiLine", multi_line).option("enforceSchema", False).csv(path)
+    )
+
+    def given(name: str) -> Column:
+        return F.when(~F.col(name).isin(*MISSING_TOKENS), F.col(name))
+
+    def typed(name: str) -> Column:
+        value = given(name)
         if wanted[name] == "string":
-            return F.when(~c.isin(*MISSING_TOKENS), c).alias(name)
-        return c
-
-    return df.select(*[clean(name) for name in wanted])
+            return value
+        number = F.trim(value).try_cast(_TYPES[wanted[name]])
+        return F.when(~F.isnan(number), number) if wanted[name] == "double" else number
+
+    numbers = [name for name in wanted if wanted[name] != "string"]
+    wrong = F.array_compact(F.array(*[
+        F.when(given(name).isNotNull() & F.trim(given(name)).try_cast(_TYPES[wanted[name]]).isNull(), F.lit(name)) for name in numbers
+    ])) if numbers else F.array().cast("array<string>")
+    # A scan must read some other column beside the whole record, also where records are only counted.
+    fields = F.length(F.to_json(F.struct(*header))) >= 0
+    reason = F.when(F.col(whole).isNotNull() & fields, "wrong number of fields").when(
+        F.size("wrong") > 0, F.concat(F.lit("not a number: "), F.array_join("wrong", ", "))
+    )
+    record = F.coalesce(whole, F.to_json(F.struct(*header)))
+    malformed = text.withColumn("wrong", wrong).select(record.alias("record"), reason.alias("reason")).where("reason is not null")
+    return text.select(*[typed(name).alias(name) for name in wanted]), malformed
 
 
 def file_name(table: str, prefix: str = "") -> str:
@@ -128,26 +149,35 @@ def read_raw(spark: SparkSession, directory: str, prefix: str = "") -> RawTables
     Only reviews hold line breaks inside a field; only they give up splitting within a file,
     so a large review export should arrive as several files.
     """
-    frames, missing = {}, []
+    frames, malformed, missing = {}, {}, []
     for table, (_, declared) in RAW_TABLES.items():
         name = file_name(table, prefix)
         try:
-            frames[table] = _read(spark, f"{directory}/{name}", declared, table == "reviews")
+            frames[table], bad = _read(spark, f"{directory}/{name}", declared, table == "reviews")
+            if bad is not None:
+                malformed[table] = bad
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             missing.append(name)
     if missing:
         raise MissingInputs(directory, missing)
-    return RawTables(**frames)
+    return RawTables(**frames, malformed=malformed)
 
 
 def load_profile(raw: RawTables) -> DataFrame:
-    """Rows and columns per input; costs one scan of each."""
+    """Rows, columns and malformed records per input; costs a scan of each, two where records are checked."""
     profile = None
     for name, df in raw.frames().items():
+        bad = raw.malformed[name].agg(F.count("*")).scalar() if name in raw.malformed else F.lit(0)
         row = df.agg(F.count("*").alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("columns")
+            F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("columns"), bad.cast("long").alias("malformed")
         )
         profile = row if profile is None else profile.unionByName(row)
     return profile
+
+
+def quarantine(raw: RawTables) -> DataFrame | None:
+    """(table_name, record, reason) of every malformed record, to be written and looked through."""
+    parts = [df.select(F.lit(name).alias("table_name"), "record", "reason") for name, df in raw.malformed.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else None

@@ -80,9 +80,32 @@ def test_csv_types_quotes_and_missing_tokens(raw):
 
 
 def test_load_profile(raw):
-    profile = {r["table_name"]: (r["row_count"], r["columns"]) for r in raw_csv.load_profile(raw).collect()}
-    assert profile["orders"] == (3, 8) and profile["reviews"] == (3, 5)
-    assert profile["geolocation"] == (1, 3) and len(profile) == 9
+    profile = {r["table_name"]: tuple(r)[1:] for r in raw_csv.load_profile(raw).collect()}
+    assert profile["orders"] == (3, 8, 0) and profile["reviews"] == (3, 5, 0)
+    assert profile["geolocation"] == (1, 3, 0) and len(profile) == 9
+
+
+def test_malformed_records_are_counted_and_kept_apart(spark, raw_dir):
+    payments = raw_dir / "shop_order_payments_dataset.csv"
+    good = payments.read_text().rstrip("\n")
+    header = good.splitlines()[0].split(",")
+    values = {"order_id": "x", "payment_type": "boleto", "payment_installments": "1", "payment_value": "2.5"}
+    line = lambda **other: ",".join({**values, **other}.get(c, "0") for c in header)
+    bad = [line(payment_value="much", payment_installments="?"), line() + ",9,9", line(payment_value=" NaN"), line(payment_value="NA")]
+    payments.write_text("\n".join([good, *bad]) + "\n")
+    (raw_dir / "shop_sellers_dataset.csv").write_text("seller_id,seller_city,seller_state\ns1,Port,AA\ns2,Hill\n")
+    raw = raw_csv.read_raw(spark, str(raw_dir), prefix="shop_")
+    before = len(good.splitlines()) - 1
+    profile = {r["table_name"]: (r["row_count"], r["malformed"]) for r in raw_csv.load_profile(raw).collect()}
+    assert profile["payments"] == (before + 4, 2) and profile["sellers"] == (2, 1) and profile["orders"][1] == 0
+    found = {(r["table_name"], r["reason"]): r["record"] for r in raw_csv.quarantine(raw).collect()}
+    assert set(found) == {
+        ("payments", "not a number: payment_installments, payment_value"), ("payments", "wrong number of fields"),
+        ("sellers", "wrong number of fields"),
+    }
+    assert found["sellers", "wrong number of fields"] == "s2,Hill" and raw_csv.quarantine(raw).count() == 3
+    kept = raw.payments.where("order_id = 'x'").collect()
+    assert len(kept) == 4 and sum(r["payment_value"] is None for r in kept) == 3
 
 
 def test_cleaning(raw):
