@@ -179,12 +179,24 @@ def sharded(
     )
 
 
-def write_shards(df: DataFrame, places: DataFrame, path: str, id_column: str = "doc_id") -> None:
-    """Write the rows as Parquet, one folder for each shard, in slot order; ids must be unique."""
+def write_shards(
+    df: DataFrame, dimensions: Sequence[str], shards: int, path: str, bits: int = BITS, text: str = "text"
+) -> None:
+    """Write the rows as Parquet, one folder `shard=` for each shard, in slot order.
+
+    Rows are numbered where they are written first, so null and repeated ids lose or gain none; a
+    column that is called `shard` already is not written twice: it must be renamed before.
+    """
+    if "shard" in df.columns:
+        raise ValueError("the folders of shards need the name 'shard', which a column has")
+    number, slot = (next(n for n in (f"{name}{i}" for i in range(len(df.columns) + 1)) if n not in df.columns) for name in ("_row", "_slot"))
+    rows = materialize(df.withColumn(number, F.monotonically_increasing_id()), "shard_rows")
+    places = sharded(rows, dimensions, shards, bits, number, text).select(number, "shard", F.col("slot").alias(slot))
     (
-        df.join(places.select(id_column, "shard", "slot"), id_column)
+        rows.join(places, number)
         .repartition("shard")
-        .sortWithinPartitions("shard", "slot")
+        .sortWithinPartitions("shard", slot)
+        .drop(number, slot)
         .write.partitionBy("shard")
         .parquet(path)
     )

@@ -59,6 +59,18 @@ def test_a_hot_group_is_cut(docs):  # noqa: F811
 
 def test_files(spark, tmp_path, docs):  # noqa: F811
     df = docs(*((i, "x" * i) for i in range(40)))
-    sharding.write_shards(df, sharding.sharded(df, ["n_chars"], 4), f"{tmp_path}/out")
+    sharding.write_shards(df, ["n_chars"], 4, f"{tmp_path}/out")
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 40 and back.select("shard").distinct().count() == 4
+
+
+def test_written_shards_keep_null_and_repeated_ids(spark, docs, tmp_path):  # noqa: F811
+    rows = [(None, "a"), (None, "b"), (3, "c"), (3, "c"), (3, None), (4, "d d d")]
+    df = docs(*rows).withColumns({"_row0": F.lit(1), "slot": F.lit("x")})
+    sharding.write_shards(df, ["n_chars", "lang"], 4, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in back.collect()))) == sorted(map(str, rows))
+    sizes = [r["count"] for r in back.groupBy("shard").count().collect()]
+    assert max(sizes) - min(sizes) <= 1 and {*df.columns, "shard"} == set(back.columns)
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(df.withColumn("shard", F.lit(1)), ["n_chars"], 4, f"{tmp_path}/other")
