@@ -9,7 +9,7 @@ for each cell, so the table's size is set by its number of cells alone.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -116,16 +116,26 @@ def contains(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
 
 
-def present(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits of the cells of a column of 64-bit hashes (longs)."""
+MESSAGE = "part int, packed binary"
+
+
+def gathered(hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int):
+    """A function over batches that hands on the cells of the hashes found in each."""
 
     def work(batches):
         gatherer = Gatherer(bits)
         for batch in batches:
-            yield from _messages(gatherer.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            for one in hashes(batch):
+                yield from _messages(gatherer.add(one))
         yield from _messages(gatherer.rest())
 
-    return frequent(hashes.mapInArrow(work, "part int, packed binary"), bits, 1)
+    return work
+
+
+def present(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Packed bits of the cells of a column of 64-bit hashes (longs)."""
+    column = lambda batch: iter([batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+    return frequent(hashes.mapInArrow(gathered(column, bits), MESSAGE), bits, 1)
 
 
 def _messages(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:

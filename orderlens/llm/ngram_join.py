@@ -50,6 +50,7 @@ MINHASHES = 3
 OCCURRENCES = 4  # T: common rare shingles that make a candidate
 WORD_CHARS = 6  # a guess, for the number of cells only
 CELLS = 2  # for each shingle, within the bounds of `cells`
+POSTING_CELLS = 8  # for each posting
 CROSSING_CELLS = 16  # for each shingle that meets several components
 NODE_BLOCK = 256  # nodes of a block
 BROADCAST_IDS = 2_000_000  # 16 MB
@@ -321,7 +322,16 @@ def _lists(heads: DataFrame, bound: Bound) -> DataFrame:
 
         return work
 
+    total = heads.agg(F.sum(F.octet_length("head") / 8).cast("long")).first()[0] or 0
+    met_bits = cells.bits_for(total, POSTING_CELLS)
+    # What is posted once, as most of it, cannot cross components: it goes before the shuffle.
+    met_twice = heads.sparkSession.sparkContext.broadcast(
+        cells.frequent(heads.mapInArrow(cells.gathered(lambda batch: _flat_heads(batch, 3), met_bits), cells.MESSAGE), met_bits, 2)
+    )
+
     def narrow(flat, part, take, listed):
+        kept = np.flatnonzero(cells.contains(met_twice.value, flat.view(np.uint64), met_bits))
+        flat, take, listed = flat[kept], take.take(pa.array(kept)), listed[kept]
         yield pa.RecordBatch.from_arrays([pa.array(flat), part.column(1).take(take), pa.array(listed)], names=["shingle", "root", "listed"])
 
     # A shuffle of (shingle, root, listed) alone: minimum and maximum are made behind it.
@@ -350,6 +360,11 @@ def _lists(heads: DataFrame, bound: Bound) -> DataFrame:
     return materialize(lists.select("shingle", "block", *arrays), "inverted_lists")
 
 
+def _flat_heads(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    for one in batch.column(column).to_pylist():
+        yield np.frombuffer(one, np.uint64)
+
+
 _ARRAYS = (("node", "nodes"), ("root", "roots"), ("n", "sizes"), ("listed", "listed"))
 
 
