@@ -27,6 +27,7 @@ from orderlens.sources.scratch import materialize
 FAN = 3
 TOP = -1  # the number of the tree over the groups
 DIGEST = 32
+FILE_ROWS = 20_000  # nodes of a level that one task makes runs of
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
@@ -110,8 +111,10 @@ def _runs(leaves: DataFrame, tree_of: Column | None) -> tuple[list[DataFrame], D
     while True:
         done.append(nodes.where("n = 1").select("tree", "digest"))
         rest = nodes.where("n > 1")
-        if rest.isEmpty():
+        waiting = rest.count()
+        if not waiting:
             break
+        files = -(-waiting // FILE_ROWS)  # the upper levels are small
         run = F.floor(F.col("idx") / FAN)
         grouped = rest.groupBy("tree", run.alias("run")).agg(
             F.array_sort(F.collect_list(F.struct("idx", "digest"))).alias("of"), F.first("n").alias("m")
@@ -126,7 +129,7 @@ def _runs(leaves: DataFrame, tree_of: Column | None) -> tuple[list[DataFrame], D
             F.when(last, 0).otherwise(level + 1).cast("long").alias("up_level"),
             F.when(last, above[1]).otherwise(F.col("run")).alias("up_idx"),
         )
-        levels.append(materialize(made, f"merkle_level_{level}"))
+        levels.append(materialize(made.coalesce(files), f"merkle_level_{level}"))
         nodes = levels[-1].select("tree", F.col("run").alias("idx"), "n", F.unhex(F.sha2(_hex(F.col("children")), 256)).alias("digest"))
         level += 1
     subroots = done[0]
