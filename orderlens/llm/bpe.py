@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlens.llm import chartext as ct
+from orderlens.llm.workers import released
 
 CACHE_PIECES, CACHE_LETTERS = 400_000, 8_000_000
 ROW_WIDTH = 128
@@ -572,7 +573,7 @@ def encoded(
                 values = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types.types[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([keys, *values], schema=types)
 
-    return df.select(id_column, text_or_empty(text)).mapInArrow(work, schema)
+    return df.select(id_column, text_or_empty(text)).mapInArrow(released(work), schema)
 
 
 def text_or_empty(column: str) -> Column:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.llm.workers import released
+
 LEAST_BITS, MOST_BITS = 16, 28  # cells of a table; the largest takes 32 MB
 PART_BITS = 20  # cells of a part
 HELD = 2_000_000  # hashes a task gathers before it hands them on
@@ -129,7 +131,7 @@ def gathered(hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int
                 yield from _messages(gatherer.add(one))
         yield from _messages(gatherer.rest())
 
-    return work
+    return released(work)
 
 
 def present(hashes: DataFrame, bits: int) -> np.ndarray:

@@ -44,6 +44,7 @@ from orderlens.llm import cells
 from orderlens.llm import chartext as ct
 from orderlens.llm.bpe import small_batches, text_or_empty
 from orderlens.llm.components import components
+from orderlens.llm.workers import released
 from orderlens.sources.scratch import materialize
 
 MINHASHES = 3
@@ -165,7 +166,7 @@ def _described(docs: DataFrame, words: int, bits: int) -> DataFrame:
             yield messages(found)
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text")).mapInArrow(
-        work, "doc_id long, n long, set_key binary, hashes array<long>, part int, packed binary"
+        released(work), "doc_id long, n long, set_key binary, hashes array<long>, part int, packed binary"
     )
     return materialize(made, "shingle_sets")
 
@@ -203,7 +204,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, bound: Bound) -> Data
 
     left, right = (_texts(docs, pairs.select(c)).withColumnRenamed("text", name) for c, name in (("a", "left"), ("b", "right")))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return materialize(both.mapInArrow(work, "a long, b long").distinct(), "links")
+    return materialize(both.mapInArrow(released(work), "a long, b long").distinct(), "links")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -297,7 +298,7 @@ def _heads(docs: DataFrame, nodes: DataFrame, flags: np.ndarray, bits: int, word
                 )
 
     known = docs.where("doc_id is not null").select("doc_id", text_or_empty("text"))
-    heads = known.mapInArrow(first, "set_key binary, head binary").groupBy("set_key").agg(F.first("head").alias("head"))
+    heads = known.mapInArrow(released(first), "set_key binary, head binary").groupBy("set_key").agg(F.first("head").alias("head"))
     return materialize(heads.join(nodes, "set_key").select("node", "root", "n", "head"), "heads")
 
 
@@ -335,7 +336,7 @@ def _lists(heads: DataFrame, bound: Bound) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(flat), part.column(1).take(take), pa.array(listed)], names=["shingle", "root", "listed"])
 
     # A shuffle of (shingle, root, listed) alone: minimum and maximum are made behind it.
-    met = heads.mapInArrow(post(narrow), "shingle long, root long, listed boolean").repartition(F.col("shingle"))
+    met = heads.mapInArrow(released(post(narrow)), "shingle long, root long, listed boolean").repartition(F.col("shingle"))
     useful = F.min("root") < F.max("root")
     crossing = met.groupBy("shingle").agg((useful & F.bool_or("listed")).alias("useful")).where("useful").select("shingle")
     crossing = materialize(crossing, "crossing")
@@ -351,7 +352,7 @@ def _lists(heads: DataFrame, bound: Bound) -> DataFrame:
         )
 
     # Most postings go before anything is shuffled; the join makes it exact.
-    posted = heads.mapInArrow(post(likely), "shingle long, node long, root long, n long, listed boolean")
+    posted = heads.mapInArrow(released(post(likely)), "shingle long, node long, root long, n long, listed boolean")
     kept = materialize(posted.join(crossing, "shingle"), "postings")
     blocks = max(1, -(-kept.select("node").distinct().count() // NODE_BLOCK))
     member = F.struct("n", "node", "root", "listed")
@@ -399,7 +400,7 @@ def _candidates(lists: DataFrame, bound: Bound) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     order = ["qb", "cb", *(f"{block}_{name}" for block in ("qb", "cb") for name in fields)]
-    return materialize(met.select(*order).mapInArrow(work, "qb int, cb int, node long, candidates array<long>"), "candidates")
+    return materialize(met.select(*order).mapInArrow(released(work), "qb int, cb int, node long, candidates array<long>"), "candidates")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -515,7 +516,7 @@ def _linked_in_blocks(candidates: DataFrame, docs: DataFrame, words: int, bound:
         if waiting:
             yield flush(len(waiting))
 
-    return materialize(rows.mapInArrow(work, "a long, b long"), "links")
+    return materialize(rows.mapInArrow(released(work), "a long, b long"), "links")
 
 
 # ---- the join -----------------------------------------------------------------------------------

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlens.llm import bpe
+from orderlens.llm.workers import released
 
 
 class Limits(NamedTuple):
@@ -215,4 +216,4 @@ def _packed(df: DataFrame, examples, limits: Limits, cut: bool, projection: Proj
                     values = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types.types, strict=True)]
                     yield pa.RecordBatch.from_arrays(values, schema=types)
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(released(work), schema)

@@ -22,6 +22,7 @@ from orderlens.llm import chartext as ct
 from orderlens.llm.bpe import LETTER, SPACE, small_batches, text_or_empty
 from orderlens.llm.labelled import training_sample
 from orderlens.llm.textstats import Texts, ratio
+from orderlens.llm.workers import released
 
 # Parameters: the most labelled documents of each class that are learned from, and the model's size.
 PER_CLASS = 2500
@@ -210,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
                 )
 
     schema = "doc_id long, label double, weight double, columns array<int>, values array<float>, statistics array<double>"
-    made = sample.rows.select("doc_id", "label", "weight", "text").mapInArrow(work, schema)
+    made = sample.rows.select("doc_id", "label", "weight", "text").mapInArrow(released(work), schema)
     rows = made.toPandas().sort_values("doc_id", kind="stable")
     texts = list(zip(rows["columns"], rows["values"].map(lambda x: np.asarray(x, float)), strict=True))
     return train(texts, np.stack(rows["statistics"].to_list()), rows["label"].to_numpy(), rows["weight"].to_numpy())
@@ -251,4 +252,4 @@ def scored(
                 yield pa.RecordBatch.from_arrays(values, names=schema.names)
 
     sent = row if text in columns else docs.select(*columns, text_or_empty(text).alias("_text"))
-    return sent.mapInArrow(work, schema)
+    return sent.mapInArrow(released(work), schema)

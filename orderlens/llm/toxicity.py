@@ -25,6 +25,7 @@ from orderlens.llm import chartext as ct
 from orderlens.llm.bpe import LETTER, SPACE, small_batches, text_or_empty
 from orderlens.llm.labelled import Sample, training_sample
 from orderlens.llm.textstats import Texts, ratio, upper_flags
+from orderlens.llm.workers import released
 from orderlens.sources.scratch import materialize
 
 # Parameters: the most labelled documents of each class that are learned from, and the most
@@ -194,7 +195,7 @@ def with_features(
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     sent = df.select(*keep) if inside else df.select(*keep, text_or_empty(text))
-    return sent.mapInArrow(work, schema)
+    return sent.mapInArrow(released(work), schema)
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
@@ -225,7 +226,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     bad_all, good_all = n.get(1, 0), n.get(0, 0)
     terms = (
         rows.select("label", "text")
-        .mapInArrow(work, "term long, bad double, good double")
+        .mapInArrow(released(work), "term long, bad double, good double")
         .groupBy("term")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     )
