@@ -54,11 +54,12 @@ def stored_dimension(star, name: str) -> DataFrame:
 
 
 def star_csv(star, name: str) -> DataFrame:
-    """A table of the star exported as CSV with the others and read back with its types."""
+    """A table of the star exported as (compressed) CSV with the others and read back with its types."""
 
     def build() -> str:
         path = new_path(star.fact.sparkSession, "star_csv")
-        store.export_star(Star(star.fact, star.customers, star.products, star.sellers, star.dates), path)
+        tables = Star(star.fact, star.customers, star.products, star.sellers, star.dates)
+        store.export_star(tables, path, compression="gzip")
         return path
 
     original = {

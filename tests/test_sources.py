@@ -1,10 +1,13 @@
+import os
+
 import pytest
 from conftest import rows
 from pyspark.errors import AnalysisException
 
-from orderlens.plans import cleaning
+from orderlens.plans import cleaning, round_trips
 from orderlens.plans import extracts as dash
-from orderlens.plans.star import FACT_COLUMNS, build_star, check_keys
+from orderlens.plans.star import FACT_COLUMNS, build_star, check_keys, iso_text
+from orderlens.session import SessionStar
 from orderlens.sources import raw_csv, store
 from orderlens.sources.scratch import materialize, shared_root
 
@@ -284,3 +287,13 @@ def test_scratch_is_below_the_checkpoint_folder(spark):
 def test_other_read_errors_are_not_hidden(spark):
     with pytest.raises(AnalysisException):
         spark.read.csv("/nowhere/at/all")
+
+
+def test_the_star_goes_through_compressed_csv(raw):
+    """As plain text, the fact of a large star would take several times the disk of its stored table."""
+    star = SessionStar(raw)
+    for name, table in star.tables().items():
+        back = round_trips.star_csv(star, name)
+        assert sorted(map(str, rows(back))) == sorted(map(str, rows(iso_text(table))))
+        parts = [f for f in os.listdir(f"{star.derived['star_csv']}/{name}".removeprefix("file:")) if f.startswith("part-")]
+        assert parts and all(f.endswith(".csv.gz") for f in parts)
