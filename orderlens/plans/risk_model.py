@@ -109,10 +109,15 @@ def weighted(train: DataFrame) -> tuple[DataFrame, int]:
 
 
 def logistic(total: int) -> Pipeline:
-    """Ridge-penalised logistic regression on standardised features."""
+    """Ridge-penalised logistic regression on standardised features.
+
+    Features are scaled but not centred, so that the levels stay sparse in what the fit keeps of every
+    row.  The fit centres them by itself; the intercept bears no penalty, so coefficients and scores are
+    those of centred features.
+    """
     return Pipeline(
         stages=[
-            StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True),
+            StandardScaler(inputCol="features", outputCol="scaled_features"),
             LogisticRegression(
                 featuresCol="scaled_features", labelCol=LABEL, weightCol="weight",
                 regParam=1.0 / total, elasticNetParam=0.0, standardization=False,
@@ -146,8 +151,9 @@ def fit_partitions(rows: int) -> int:
 def fit(name: str, train: DataFrame, partitions: int | None = None, **settings) -> PipelineModel:
     """Fit one model to rows of the design (key, label, features).
 
-    Rows are laid out by their key, in one partition for `FIT_ROWS` of them, so that the model does
-    not depend on the machine or on how the rows were stored.
+    For a forest, rows are laid out by their key, in one partition for `FIT_ROWS` of them, so that the
+    model does not depend on the machine or on how the rows were stored.  The logistic model draws
+    nothing; its sums are the same in any order but for rounding, so it reads the rows where they lie.
 
     The model is written and read back.  A freshly fitted one holds on to its training summary
     and through it to the session, which cannot be sent to executors once the session has been
@@ -155,8 +161,11 @@ def fit(name: str, train: DataFrame, partitions: int | None = None, **settings)
     """
     path = new_path(train.sparkSession, "model")  # also names the folder of checkpoints
     rows, total = weighted(train)
-    pipeline = logistic(total) if name == LR else forest(**settings)
-    pipeline.fit(spread(rows, partitions or fit_partitions(total))).write().save(path)
+    if name == LR:
+        pipeline = logistic(total)
+    else:
+        pipeline, rows = forest(**settings), spread(rows, partitions or fit_partitions(total))
+    pipeline.fit(rows).write().save(path)
     return PipelineModel.load(path)
 
 

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from orderlens import registry
@@ -37,6 +38,22 @@ def test_design_drops_the_first_level(small_star):
     assert "payment_type_boleto" not in names and "payment_type_credit_card" in names
 
 
+def test_the_logistic_model_keeps_levels_sparse(small_star, monkeypatch):
+    """Its rows are neither laid out anew nor centred one by one; scores are those of centred features."""
+    monkeypatch.setattr(models, "spread", lambda *_: pytest.fail("rows of the logistic model were shuffled"))
+    train, test = risk.train_rows(small_star), risk.test_rows(small_star)
+    fitted = models.fit(models.LR, train)
+    sizes = F.udf(lambda v: len(v.indices) if hasattr(v, "indices") else v.size, "int")
+    scaled = fitted.transform(train).select(sizes("scaled_features").alias("kept"), sizes("features").alias("given"))
+    assert scaled.where("kept > given").count() == 0 and scaled.agg(F.max("kept")).first()[0] < len(models.feature_names(risk.encoder(small_star)))
+    rows_, total = models.weighted(train)
+    [scaler, regression] = models.logistic(total).getStages()
+    centred = Pipeline(stages=[scaler.copy().setWithMean(True), regression]).fit(rows_)
+    want = {tuple(r[k] for k in features.KEYS): r["probability"] for r in models.scored(centred, test, "m").collect()}
+    found = {tuple(r[k] for k in features.KEYS): r["probability"] for r in models.scored(fitted, test, "m").collect()}
+    assert found == pytest.approx(want, abs=1e-6) and len(found) > 100
+
+
 def test_imputation_uses_the_median(small_star):
     holes = risk.ml_features(small_star)
     assert holes.where("product_photos_qty is null").count() > 0
