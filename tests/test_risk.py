@@ -54,6 +54,23 @@ def test_the_logistic_model_keeps_levels_sparse(small_star, monkeypatch):
     assert found == pytest.approx(want, abs=1e-6) and len(found) > 100
 
 
+def test_rows_are_written_once_for_the_model(small_star, monkeypatch):
+    """What follows row by row from the features is not written: not the imputed rows, the design or the split."""
+    written = []
+
+    def noted(df, name):
+        written.append(name)
+        return materialize(df, name)
+
+    monkeypatch.setattr(risk, "materialize", noted)
+    star = SessionStar(small_star.raw)
+    assert registry.REPORTS["lr_metrics"](star).count() == 5
+    assert written == ["ml_rows", "ml_features", "scores"]
+    written.clear()
+    assert registry.REPORTS["lr_metrics_oof"](star).count() == 5
+    assert written == ["ml_folds", "folded_features", "ml_features_oof", "scores_oof"]
+
+
 def test_imputation_uses_the_median(small_star):
     holes = risk.ml_features(small_star)
     assert holes.where("product_photos_qty is null").count() > 0
